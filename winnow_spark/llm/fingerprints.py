@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from winnow_spark.session import cut_lineage, read_table
 
-RARE, COMMON = 1 / 500, 1 / 10
-SUBSETS, KEEP = 6, 0.7
+RARE, COMMON = 1 / 200, 1 / 10
+SUBSETS, KEEP = 6, 0.5
 MAX_LEXICON = 500_000
 #: Ids to a range when documents are put in order, and ranges at most.
 RANGE_ROWS, MAX_RANGES = 200_000, 50_000
@@ -54,17 +54,24 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``fingerprint`` and ``likes`` (its subset hashes) of each row; keys tell rows apart."""
+    """``keys``, ``fingerprint``, ``likes`` (its subset hashes) and ``sha256`` of each row's text; keys tell rows apart.
+
+    A text's last element is its own SHA-256 after "#", which no term has; it
+    stays in the join whatever the lexicon is, so each row has a result and
+    only lexicon terms are gathered.
+    """
     small = words.count() <= MAX_LEXICON
+    sentinel = words.sparkSession.range(1).select(F.xxhash64(F.lit("#")).alias("term"), F.lit(0).alias("mask"))
+    words = words.unionByName(sentinel)
     body = F.coalesce(F.col(text), F.lit(""))
-    base = texts.select(*keys, body.alias("__body"))
-    terms = base.select(*keys, F.xxhash64("__body").alias("__whole"), F.explode(distinct_terms(F.col("__body"))).alias("word"))
-    terms = terms.select(*keys, "__whole", F.xxhash64("word").alias("term"))
-    joined = terms.join(F.broadcast(words) if small else words, "term", "left")
-    found = joined.groupBy(*keys, "__whole").agg(F.array_sort(F.collect_list(F.when(F.col("mask").isNotNull(), F.struct("term", "mask")))).alias("found"))
+    terms = texts.select(*keys, F.explode(F.array_append(distinct_terms(body), F.concat(F.lit("#"), F.sha2(body, 256)))).alias("word"))
+    whole = F.col("word").startswith("#")
+    terms = terms.select(*keys, F.xxhash64(F.when(whole, F.lit("#")).otherwise(F.col("word"))).alias("term"), F.when(whole, F.substring("word", 2, 64)).alias("sha"))
+    joined = terms.join(F.broadcast(words) if small else words, "term")
+    found = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("mask") > 0, F.struct("term", "mask")))).alias("found"), F.max("sha").alias("sha256"))
     subset = lambda k: F.transform(F.filter("found", lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0), lambda t: t["term"])
-    hashes = [F.when(F.size(subset(k)) > 0, F.xxhash64(subset(k), F.lit(k))).otherwise(F.xxhash64("__whole", F.lit(-1 - k))) for k in range(SUBSETS)]
-    likes = found.select(*keys, F.array(*hashes).alias("likes"))
+    hashes = [F.when(F.size(subset(k)) > 0, F.xxhash64(subset(k), F.lit(k))).otherwise(F.xxhash64("sha256", F.lit(-1 - k))) for k in range(SUBSETS)]
+    likes = found.select(*keys, "sha256", F.array(*hashes).alias("likes"))
     return likes.withColumn("fingerprint", F.array_join(F.transform("likes", lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "-"))
 
 
@@ -74,12 +81,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def followers(keys: DataFrame) -> DataFrame:
-    """For each (id, hash) of ``keys`` (unique, with ``n``): the next in descending order of id, ``next_id, next_hash``; after the last comes the first.
+    """For each (id, hash) of ``keys`` (unique): ``next``, that of the next in descending order of id; after the last comes the first.
 
     Ranges of the order are windowed by themselves; the first row of the range
     after each, one a range, is what meets in one place.
     """
-    order = [F.col("id").desc(), F.col("hash").asc()]
+    order = [F.col("missing").asc(), F.col("id").desc(), F.col("hash").asc()]
     ranges = max(1, min(MAX_RANGES, -(-keys.count() // RANGE_ROWS)), min(64, keys.sparkSession.sparkContext.defaultParallelism))
     ranged = cut_lineage(keys.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
     inside = Window.partitionBy("range").orderBy(*order)
@@ -88,7 +95,7 @@ def followers(keys: DataFrame) -> DataFrame:
     heads = ranked.where("place = 1").select("range", me.alias("head"))
     around = Window.orderBy("range")
     heads = heads.select("range", F.coalesce(F.lead("head").over(around), F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
-    return ranked.join(F.broadcast(heads), "range").select("id", "hash", "n", "copies", F.coalesce("next", "head").alias("next"))
+    return ranked.join(F.broadcast(heads), "range").select("id", "hash", "missing", "n", "copies", F.coalesce("next", "head").alias("next"))
 
 
 def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,8 +105,10 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     points of the next document.
     """
     body = F.coalesce(docs[text], F.lit(""))
-    whole = docs.select(docs[id].alias("id"), F.xxhash64(body).alias("hash"), body.alias("body"))
-    keys = cut_lineage(whole.select("id", "hash", F.length("body").cast("long").alias("n")).groupBy("id", "hash").agg(F.first("n").alias("n"), F.count("*").alias("copies")))
+    key, missing = F.coalesce(docs[id].cast("long"), F.lit(0)), docs[id].isNull()
+    whole = docs.select(key.alias("id"), F.xxhash64(missing, body).alias("hash"), body.alias("body"))
+    keys = docs.select(key.alias("id"), F.xxhash64(missing, body).alias("hash"), missing.alias("missing"), F.length(body).cast("long").alias("n"))
+    keys = cut_lineage(keys.groupBy("id", "hash").agg(F.first("missing").alias("missing"), F.first("n").alias("n"), F.count("*").alias("copies")))
     repeated = bool(keys.where("copies > 1").head(1))
     after = cut_lineage(followers(keys))
     words = lexicon(whole, "body")
@@ -107,19 +116,18 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     # Each document learns who needs its beginning, and how much of it.
     wanted = after.select(F.col("next.id").alias("id"), F.col("next.hash").alias("hash"), F.col("id").alias("to_id"), F.col("hash").alias("to_hash"), F.floor(F.col("n") / 2).cast("int").alias("want"))
     texts = whole.dropDuplicates(["id", "hash"]) if repeated else whole
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["hash"] == b["hash"])
-    pieces = texts.join(wanted.hint("shuffle_hash"), same(texts, wanted)).select(F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.expr("substring(body, 1, want)").alias("piece"))
-    both = texts.join(pieces, same(texts, pieces)).select(texts["id"], texts["hash"], "body", F.expr("concat(substring(body, 1, length(body) - CAST(floor(length(body) / 2) AS INT)), piece)").alias("edited"))
+    pieces = texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]).select(F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.expr("substring(body, 1, want)").alias("piece"))
+    both = texts.join(pieces, ["id", "hash"]).select("id", "hash", "body", F.expr("concat(substring(body, 1, length(body) - CAST(floor(length(body) / 2) AS INT)), piece)").alias("edited"))
     variants = both.select("id", "hash", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("body").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("value")))).alias("v"))
-    variants = variants.select("id", "hash", F.col("v.kind").alias("kind"), F.col("v.value").alias("value"), F.when(F.col("v.kind") == 1, F.sha2(F.col("v.value"), 256)).alias("sha"))
-    prints = fingerprints(variants, words, ["id", "hash", "kind", "sha"], "value")
+    prints = fingerprints(variants.select("id", "hash", "v.kind", "v.value"), words, ["id", "hash", "kind"], "value")
     take = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
-    prints = cut_lineage(prints.groupBy("id", "hash").agg(take(0, "fingerprint").alias("fingerprint"), take(1, "fingerprint").alias("edited_fingerprint"), take(0, "likes").alias("likes"), take(1, "likes").alias("edited_likes"), take(1, "sha").alias("edited_sha256")))
-    nexts = prints.select(F.struct("id", "hash").alias("next"), F.col("likes").alias("next_likes"))
-    out = prints.join(after, same(prints, after)).select(prints["id"], "n", "copies", "next", "fingerprint", "edited_fingerprint", "likes", "edited_likes", "edited_sha256")
-    out = out.join(nexts, out["next"].eqNullSafe(nexts["next"]))
+    prints = prints.groupBy("id", "hash").agg(take(0, "fingerprint").alias("fingerprint"), take(1, "fingerprint").alias("edited_fingerprint"), take(0, "likes").alias("likes"), take(1, "likes").alias("edited_likes"), take(1, "sha256").alias("edited_sha256"))
+    prints = cut_lineage(prints)
+    out = prints.join(after, ["id", "hash"])
+    nexts = prints.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("likes").alias("next_likes"))
+    out = out.join(nexts, (out["next.id"] == nexts["next_id"]) & (out["next.hash"] == nexts["next_hash"]))
     out = out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(~F.col("missing"), F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("likes"), F.col("edited_likes")).alias("near_edited"), likeness(F.col("likes"), F.col("next_likes")).alias("near_next"), "copies",
     )
     if repeated:
