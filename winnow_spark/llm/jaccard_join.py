@@ -54,6 +54,8 @@ from winnow_spark.session import cut_lineage, read_table
 PERCENT = 80
 COUNTERS, BLOCK = 1 << 20, 1 << 14
 SMALL, STAR_ROUNDS = 6, 3
+#: Rows of one or two ids that may be broadcast (a few MB); more are shuffled.
+MAX_BROADCAST = 300_000
 #: Words of 64 bits in a set's parity sketch.
 SKETCH = [f"k{i}" for i in range(16)]
 
@@ -144,7 +146,10 @@ def could_link(n: Column, place: Column, other_n: Column, other_place: Column) -
 
 
 def _met(one: DataFrame, other: DataFrame, suffix: bool, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of different components that meet on a shingle and pass the filters; a < b."""
+    """Pairs (a, b) of different components that meet on a shingle and pass the filters.
+
+    Of the two, a has the lesser hash, so that a first pivot is always a.
+    """
     one, other = one.alias("x"), other.alias("y")
     on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp"))
     if every:  # all classes of a shingle are met, so those that share the shingle before have met there
@@ -153,8 +158,9 @@ def _met(one: DataFrame, other: DataFrame, suffix: bool, every: bool = False) ->
     if suffix:
         differ = [F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SKETCH]
         on &= (100 + PERCENT) * sum(differ[1:], differ[0]) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
-    pairs = one.join(other, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    return pairs.distinct()
+    pairs = one.join(other, on).select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
+    first = F.xxhash64("x") < F.xxhash64("y")
+    return pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,8 +175,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(100 * shared >= PERCENT * (both - shared))
         return pd.Series(out, dtype=bool)
 
-    withb = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("b_hashes")), "b")
-    withboth = withb.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("a_hashes")), "a")
+    pairs = cut_lineage(pairs)
+    few = (lambda df: F.broadcast(df)) if pairs.count() <= MAX_BROADCAST else (lambda df: df)
+    withb = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("b_hashes")).join(few(pairs), "b")
+    # A pivot's set is shipped once, its partners' sets to it.
+    firsts = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("a_hashes")).join(few(pairs.select("a").distinct()), "a", "left_semi")
+    withboth = withb.join(firsts, "a")
     return withboth.select("a", "b", linked("a_hashes", "b_hashes").alias("linked"))
 
 
@@ -201,7 +211,7 @@ def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rep": batch["rep"].to_numpy(np.int64), "hashes": pd.Series([h.tobytes() for h in sets], dtype=object), **dict(zip(SKETCH, sketches.T))})
 
     found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").mapInPandas(hashed, "rep long, hashes binary, " + ", ".join(f"{k} long" for k in SKETCH))
-    return found.join(reps, "rep", "left_semi")
+    return found.join(F.broadcast(reps) if reps.count() <= MAX_BROADCAST else reps, "rep", "left_semi")
 
 
 def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +222,7 @@ def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     postings = prefix_postings(classes.select("rep", "n", "prefix"))
-    several = postings.groupBy("shingle").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+    several = postings.groupBy("shingle").count().where("count > 1").select("shingle")
     meeting = postings.join(several, "shingle", "left_semi")
     # The shingle before, among those that meet.
     in_order = F.array_sort(F.collect_list(F.struct("place", "shingle")))
