@@ -58,6 +58,8 @@ SMALL, STAR_ROUNDS = 6, 3
 MAX_BROADCAST = 300_000
 #: Words of 64 bits in a set's parity sketch.
 SKETCH = [f"k{i}" for i in range(16)]
+#: Those that rows carry where all pairs are met (folded to half as many bits).
+FOLDED = SKETCH[:8]
 
 
 def counted_in_blocks(df: DataFrame, places: Callable[[pd.DataFrame], Iterator[np.ndarray]], size: int) -> np.ndarray:
@@ -145,7 +147,13 @@ def could_link(n: Column, place: Column, other_n: Column, other_place: Column) -
     return (100 * n >= PERCENT * other_n) & (100 * other_n >= PERCENT * n) & ((100 + PERCENT) * possible >= needed)
 
 
-def _met(one: DataFrame, other: DataFrame, suffix: bool, every: bool = False) -> DataFrame:
+def may_be_alike(x: str, y: str, bits: list[str]) -> Column:
+    """Suffix filter on parity sketches: the bits that differ are at most the symmetric difference."""
+    differ = [F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in bits]
+    return (100 + PERCENT) * sum(differ[1:], differ[0]) <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _met(one: DataFrame, other: DataFrame, every: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that meet on a shingle and pass the filters.
 
     Of the two, a has the lesser hash, so that a first pivot is always a.
@@ -153,18 +161,16 @@ def _met(one: DataFrame, other: DataFrame, suffix: bool, every: bool = False) ->
     one, other = one.alias("x"), other.alias("y")
     on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp"))
     if every:  # all classes of a shingle are met, so those that share the shingle before have met there
+        on &= may_be_alike("x", "y", FOLDED)
         on &= ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
     on &= could_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-    if suffix:
-        differ = [F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SKETCH]
-        on &= (100 + PERCENT) * sum(differ[1:], differ[0]) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     pairs = one.join(other, on).select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
     first = F.xxhash64("x") < F.xxhash64("y")
     return pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, by their whole sets."""
+    """``pairs`` (a, b) with ``linked``: by the suffix filter, and whole sets for what passes it."""
 
     @F.pandas_udf("boolean")
     def linked(ones: pd.Series, others: pd.Series) -> pd.Series:
@@ -175,13 +181,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(100 * shared >= PERCENT * (both - shared))
         return pd.Series(out, dtype=bool)
 
-    pairs = cut_lineage(pairs)
-    few = (lambda df: F.broadcast(df)) if pairs.count() <= MAX_BROADCAST else (lambda df: df)
+    few = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    pairs, sketches = cut_lineage(pairs), sets.select("rep", "n", *SKETCH)
+    one = sketches.alias("x").join(few(pairs), F.col("x.rep") == F.col("b")).select("a", "b", F.struct("x.n", *[f"x.{k}" for k in SKETCH]).alias("x"))
+    alike = one.join(sketches.alias("y"), F.col("a") == F.col("y.rep")).where(may_be_alike("x", "y", SKETCH)).select("a", "b")
+    alike = cut_lineage(alike)
+    refused = pairs.join(alike, ["a", "b"], "left_anti").withColumn("linked", F.lit(False))
+    pairs = alike
     withb = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("b_hashes")).join(few(pairs), "b")
     # A pivot's set is shipped once, its partners' sets to it.
     firsts = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("a_hashes")).join(few(pairs.select("a").distinct()), "a", "left_semi")
     withboth = withb.join(firsts, "a")
-    return withboth.select("a", "b", linked("a_hashes", "b_hashes").alias("linked"))
+    return withboth.select("a", "b", linked("a_hashes", "b_hashes").alias("linked")).unionByName(refused)
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -208,9 +219,9 @@ def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
             batch = batch[(shared.value[at >> 3] >> (7 - (at & 7))) & 1 > 0]
             sets = list(shingle_sets(batch["text"]))
             sketches = np.array([parity_sketch(h) for h in sets], np.int64).reshape(-1, len(SKETCH))
-            yield pd.DataFrame({"rep": batch["rep"].to_numpy(np.int64), "hashes": pd.Series([h.tobytes() for h in sets], dtype=object), **dict(zip(SKETCH, sketches.T))})
+            yield pd.DataFrame({"rep": batch["rep"].to_numpy(np.int64), "n": np.array([len(h) for h in sets], np.int32), "hashes": pd.Series([h.tobytes() for h in sets], dtype=object), **dict(zip(SKETCH, sketches.T))})
 
-    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").mapInPandas(hashed, "rep long, hashes binary, " + ", ".join(f"{k} long" for k in SKETCH))
+    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").mapInPandas(hashed, "rep long, n int, hashes binary, " + ", ".join(f"{k} long" for k in SKETCH))
     return found.join(F.broadcast(reps) if reps.count() <= MAX_BROADCAST else reps, "rep", "left_semi")
 
 
@@ -257,19 +268,21 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
         opened = cut_lineage(opened.join(sizes, "shingle"))
         if not opened.head(1):
             return comps
-        columns = ["shingle", "rep", "n", "place", "before", "comp", *(SKETCH if turn else [])]
+        columns = ["shingle", "rep", "n", "place", "before", "comp"]
         if turn < STAR_ROUNDS:
             small = 0 if turn else SMALL
             # First one pivot for all shingles of a group, then another for each shingle.
             draw = F.xxhash64("rep", "shingle", F.lit(turn)) if turn else F.xxhash64("rep")
             drawn = opened.where(F.col("size") > small).groupBy("shingle").agg(F.min_by(F.struct(*columns[1:]), draw).alias("p"))
-            pairs = _met(drawn.select("shingle", *[f"p.{c}" for c in columns[1:]]), opened, turn > 0)
+            pairs = _met(drawn.select("shingle", *[f"p.{c}" for c in columns[1:]]), opened)
             if small:
                 rest = opened.where(F.col("size") <= small)
-                pairs = pairs.unionByName(_met(rest, rest, False)).distinct()
+                pairs = pairs.unionByName(_met(rest, rest)).distinct()
         else:
             shares = opened.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-            pairs = _met(opened.join(shares, "shingle").where("comp <> largest"), opened, True, every=True)
+            folded = sets.select("rep", *[F.col(k).bitwiseXOR(F.col(SKETCH[len(FOLDED) + i])).alias(k) for i, k in enumerate(FOLDED)])
+            carried = opened.select(*columns).join(folded, "rep")
+            pairs = _met(carried.join(shares, "shingle").where("comp <> largest"), carried, every=True)
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
         checked = cut_lineage(verified(pairs, sets))
@@ -282,7 +295,7 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
             comps = cut_lineage(comps.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
         if turn >= STAR_ROUNDS:  # every pair across components has been checked
             return comps
-        opened = opened.select("shingle", "rep", "n", "place", "before").join(comps, "rep").join(sets.select("rep", *SKETCH), "rep")
+        opened = opened.select("shingle", "rep", "n", "place", "before").join(comps, "rep")
         failed = checked.where("NOT linked").select("a", "b")
         refused = failed if refused is None else refused.unionByName(failed)
         turn = turn + 1 if any_linked else STAR_ROUNDS
