@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from winnow_spark.llm.components import connected_components
 from winnow_spark.llm.shingles import shingle_sets
-from winnow_spark.session import cut_lineage, read_table
+from winnow_spark.session import cut_lineage, read_table, release_shuffles
 
 #: Similarity in per cent.
 PERCENT = 80
@@ -241,6 +241,7 @@ def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     listed = listed.select("rep", "n", F.posexplode("steps").alias("k", "step"), "steps")
     opened = listed.select(F.col("step.shingle").alias("shingle"), "rep", "n", F.col("step.place").alias("place"), F.when(F.col("k") > 0, F.element_at("steps", F.greatest("k", F.lit(1)))["shingle"]).alias("before"))
     opened = cut_lineage(opened)
+    release_shuffles(docs.sparkSession)
     components = linked_classes(docs, opened)
 
     signatures = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -296,6 +297,7 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
         if turn >= STAR_ROUNDS:  # every pair across components has been checked
             return comps
         opened = opened.select("shingle", "rep", "n", "place", "before").join(comps, "rep")
+        release_shuffles(docs.sparkSession)
         failed = checked.where("NOT linked").select("a", "b")
         refused = failed if refused is None else refused.unionByName(failed)
         turn = turn + 1 if any_linked else STAR_ROUNDS
