@@ -1,0 +1,133 @@
+import pytest
+from pyspark.sql import functions as F
+
+from winnow_spark.operators import configs, relevance, secrets, skeleton
+from winnow_spark.operators.dedupe import find_duplicates, is_exact_duplicate, shingle_overlap
+from winnow_spark.operators.reduce import reduce_context
+
+
+def docs(spark, *texts, ids=None):
+    return spark.createDataFrame([(i, ids[i] if ids else f"d{i}", t) for i, t in enumerate(texts)], "ord long, id string, text string")
+
+
+def lines(tag, n, words=6):
+    return "\n".join(" ".join(f"{tag}{i}w{k}" for k in range(words)) for i in range(n))
+
+
+def test_duplicates(spark):
+    base = lines("a", 40)
+    found = {r["id"]: r for r in find_duplicates(docs(spark, base, base + "  ", base.replace("a20w3", "edited"), lines("b", 30), " \n", None)).collect()}
+    assert [found[f"d{i}"]["verdict"] for i in range(6)] == ["kept", "exact", "near", "kept", "empty", "empty"]
+    assert found["d1"]["duplicate_of"] == "d0" and found["d1"]["distance"] == 0 and found["d2"]["duplicate_of"] == "d0"
+
+
+def test_chain_keeps_both_ends(spark):
+    words = [f"tok{i:03d}" for i in range(200)]
+    text = lambda n: " ".join(words[n:] + [f"new{i:03d}" for i in range(n)])
+    found = {r["id"]: r["verdict"] for r in find_duplicates(docs(spark, text(0), text(15), text(30)), distance=64).collect()}
+    assert found == {"d0": "kept", "d1": "near", "d2": "kept"}
+
+
+def test_empty_table(spark):
+    assert find_duplicates(docs(spark, "x").where("false")).count() == 0
+
+
+def test_pair_functions(spark):
+    row = spark.range(1).select(is_exact_duplicate(F.lit("a \r\nb"), F.lit("a\nb\n")).alias("same"), is_exact_duplicate(F.lit(" "), F.lit("")).alias("blank"), shingle_overlap(F.lit("one two three four five six"), F.lit("")).alias("none")).first()
+    assert row["same"] and not row["blank"] and row["none"] == 0
+
+
+MODULE = """import { db } from './db'
+// Loads a user.
+export async function loadUser(id) {
+  const row = await db.get(id)
+  if (row) {
+    return row
+  }
+}
+export class UserService {
+  private cache = new Map()
+  // Finds one.
+  find(id) {
+    for (const x of this.cache) { use(x) }
+  }
+}
+interface Repo { }
+const limit = 3"""
+
+
+def test_skeleton():
+    text, symbols, kept, total, cut = skeleton.skeletonize_text(MODULE)
+    names = [n for n, _ in symbols]
+    assert {"loadUser", "UserService", "find", "Repo", "limit"} <= set(names) and "return row" not in text and "// Loads a user." in text
+    assert text.count("{") == text.count("}") and kept < total and not cut
+    assert skeleton.skeletonize_text(MODULE, 3)[2:] == (3, total, True)
+    assert skeleton.skeletonize_text(None) == ("", [], 0, 0, False)
+    python = skeleton.skeletonize_text("class A:\n    def f(self):\n        print('x')\nprint(1)")[0]
+    assert "class A:" in python and "print" not in python
+
+
+def test_skeleton_columns(spark):
+    row = docs(spark, MODULE).select(skeleton.skeletonize(F.col("text")).alias("s"), skeleton.summarize_imports(F.col("text")).alias("i"), skeleton.extract_symbol(F.col("text"), "loadUser").alias("f"), skeleton.extract_symbol(F.col("text"), "load.ser").alias("none")).first()
+    assert row["s"]["symbols"][0]["name"] == "loadUser" and row["i"] == ["import { db } from './db'"] and row["f"].startswith("export async function") and row["none"] is None
+
+
+def test_strip_literals():
+    assert skeleton.strip_literals('a = "x { y" // {') == 'a = "" ' and skeleton.brace_delta("/* { */ if (x) {") == 1 and skeleton.brace_delta("s = '{") == 0
+
+
+def test_relevance(spark):
+    text = "\n".join(["alpha", "beta", "function loadProfile(x)", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota"])
+    ranked = relevance.rank_lines(docs(spark, text).select("id", "text"), "loadProfile").orderBy("rank").collect()
+    assert ranked[0]["line_no"] == 2 and {r["line_no"] for r in ranked} == {1, 2, 3}
+    picked = lambda q, **o: relevance.select_by_relevance(docs(spark, text).select("id", "text"), q, **o).first()
+    assert picked("loadProfile", window=0)["excerpt"] == "…\nfunction loadProfile(x)\n…"
+    assert picked("nothing")["excerpt"] == text and not picked("nothing")["truncated"] and picked("loadProfile", max_tokens=1)["excerpt"] == ""
+    assert picked("alpha zeta", window=0)["excerpt"].split("\n") == ["alpha", " … ", "zeta", "…"]
+
+
+def test_secrets(spark):
+    key = "AKIA" + "ABCDEFGH" * 2
+    text = f'first\nconst key = "{key}"\npassword = "abc123"\ndb://me:' + "hunter22@host\ntoken = $ENV_VALUE"
+    found = secrets.secret_findings(docs(spark, text)).orderBy("line").collect()
+    assert [(r["rule"], r["line"]) for r in found] == [("aws_access_key", 2), ("assignment", 3), ("connection_string", 4)]
+    clean = docs(spark, text).select(secrets.redact(F.col("text")).alias("t")).first()["t"]
+    assert key not in clean and "abc123" not in clean and "db://me:[REDACTED]@host" in clean and "$ENV_VALUE" in clean
+
+
+def test_reduce(spark):
+    note = lines("n", 30)
+    done = reduce_context(docs(spark, note, note, MODULE, MODULE, ids=["a.md", "b.md", "c.mjs", "d.md"]), 4000)
+    trace = {r["stage"]: r for r in done.trace.collect()}
+    assert trace["dedupe"]["removed"] == 2 and "relevance" not in trace and "budget" in trace
+    assert {r["id"]: r["reason"] for r in done.dropped.collect()} == {"b.md": "duplicate (exact) of a.md", "d.md": "duplicate (exact) of c.mjs"}
+    modes = {r["id"]: r["mode"] for r in done.items.collect()}
+    assert modes == {"a.md": "full", "c.mjs": "declarations"} and 0 < done.totals.first()["tokens_out"] <= 4000
+    with pytest.raises(ValueError):
+        reduce_context(docs(spark, note), -1)
+
+
+def test_configs(spark):
+    rows = lambda **d: configs.flatten(spark.createDataFrame(list(d.items()), "doc string, json string"))
+    assert configs.parse_jsonc('{"a": "//x", /* c */ "b": [1, 2,], } // end') == {"a": "//x", "b": [1, 2]} and configs.parse_jsonc(" ") == {}
+    base, patch = rows(d='{"a": {"x": 1, "y": [1]}, "b": {"c": 2}, "e": {}}'), rows(d='{"a": {"y": [2]}, "b": 7}')
+    merged = configs.deep_merge(base, patch)
+    assert {(r["path"], r["value"]) for r in merged.collect()} == {("a.x", "1"), ("a.y", "[2]"), ("b", "7")}
+    assert {(r["path"], r["change"]) for r in configs.diff_paths(base, merged).collect()} == {("a.y", "changed"), ("b", "added"), ("b.c", "removed")}
+    assert [r["path"] for r in configs.remove_keys(base, ["a"]).collect()] == ["b.c"]
+    wide = configs.explain(rows(p='{"k": 1}', q='{"m": 2}'), ["p", "q"]).collect()
+    assert [tuple(r) for r in wide] == [("k", "1", "-"), ("m", "-", "2")]
+    once = spark.range(1).select(configs.upsert_block(configs.upsert_block(F.lit("mine"), F.lit("one")), F.lit("two")).alias("t")).first()["t"]
+    assert once.count(configs.BEGIN) == 1 and "two" in once and "one" not in once and once.startswith("mine\n\n")
+
+
+def test_scan(spark, tmp_path):
+    from winnow_spark.sources.files import scan_files
+
+    for name in ("b.md", "a.py", ".env", ".hidden.md", "node_modules/x.js", "image.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "link.md").symlink_to(tmp_path / "b.md")
+    assert [r["id"] for r in scan_files(spark, str(tmp_path)).orderBy("ord").collect()] == ["a.py", "b.md"]
+    with pytest.raises(FileNotFoundError):
+        scan_files(spark, str(tmp_path / "none"))

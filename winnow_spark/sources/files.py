@@ -16,9 +16,9 @@ TEXT = (
 
 
 def scan_files(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """ord, id (path under ``root``), text of files that are text by ending, not hidden (but .env) and at most 2 MiB, in order of path.
+    """ord, id (path under ``root``), text of files that are text by ending, not hidden and at most 2 MiB, in order of path.
 
-    Spark lists and reads the files; a size filter is pushed to the listing.
+    Spark's listing leaves out hidden files, ``.env`` among them. Spark lists and reads the files; a size filter is pushed to the listing.
     On a local root, links are left out.
     """
     if "://" not in root and not os.path.exists(root):
@@ -28,7 +28,7 @@ def scan_files(spark: SparkSession, root: str, max_files: int | None = None) ->
     id = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^" + os.path.realpath(root).replace("\\", "/").rstrip("/") + "/", "") if "://" not in root else F.regexp_replace("path", f"^{root.rstrip('/')}/", "")
     files = files.select(id.alias("id"), F.decode("content", "UTF-8").alias("text"))
     names = F.split("id", "/")
-    hidden = F.exists(names, lambda n: (n.startswith(".") & (n != ".env")) | n.isin(SKIPPED))
+    hidden = F.exists(names, lambda n: n.startswith(".") | n.isin(SKIPPED))
     ending = F.lower(F.regexp_extract(F.element_at(names, -1), r"\.([^.]+)$", 1))
     files = files.where(~hidden & ending.isin(TEXT))
     if "://" not in root:
