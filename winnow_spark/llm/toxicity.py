@@ -79,7 +79,7 @@ class Vocabulary:
                     row[k] += n
             if total:
                 np.minimum(row / (FULL_RATE * total), 1.0, out=row)
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         return out
 
@@ -109,11 +109,11 @@ def pick_features(sample: DataFrame, target: str, most: int = MAX_FEATURES) -> l
     return [r["feature"] for r in chosen.collect()]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
-    """Weights, intercept last, of an L2-penalised logistic model (Nesterov's method)."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def fit_logistic(x: np.ndarray, y: np.ndarray, used: np.ndarray, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
+    """Weights of an L2-penalised logistic model on the rows ``used`` (0/1); x's last column is 1 (Nesterov's method)."""
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
+    used = used.astype(x.dtype)
     v = np.ones(x.shape[1], x.dtype)
     for _ in range(20):  # the largest curvature
         v = x.T @ (x @ v)
@@ -121,14 +121,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     rate = 1.0 / (0.25 * float(np.linalg.norm(x @ v) ** 2) + ridge + 1e-9)
     w = look = np.zeros(x.shape[1])
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ look.astype(x.dtype), -30, 30)))
-        after = look - rate * (x.T @ (p - y).astype(x.dtype) + penalty * look)
+        p = predict_logistic(x, look)
+        after = look - rate * (x.T @ (used * (p - y)).astype(x.dtype) + penalty * look)
         look, w = after + k / (k + 3) * (after - w), after
     return w
 
 
 def predict_logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30)))
 
 
 class Chain:
@@ -138,11 +138,12 @@ class Chain:
         self.categories, self.vocabulary, self.weights = categories, vocabulary, weights
 
     def predict(self, texts: pd.Series) -> np.ndarray:
-        inputs = self.vocabulary.rates(texts)
-        width = inputs.shape[1]
-        for w in self.weights:
-            inputs = np.hstack([inputs, predict_logistic(inputs, w)[:, None].astype(np.float32)])
-        return inputs[:, width:].astype(float)
+        first = len(self.vocabulary.names)
+        inputs = np.zeros((len(texts), first + len(self.weights) + 1), np.float32)
+        inputs[:, :first], inputs[:, -1] = self.vocabulary.rates(texts), 1
+        for k, w in enumerate(self.weights):
+            inputs[:, first + k] = predict_logistic(inputs, w)
+        return inputs[:, first:-1].astype(float)
 
 
 def fit_chain(sample: DataFrame, categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
@@ -158,25 +159,27 @@ def fit_chain(sample: DataFrame, categories: tuple[str, ...], folds: int = FOLDS
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "at": [f.tolist() for f in full], "rate": [r[f].astype(float).tolist() for r, f in zip(rates, full)], **{c: part[c].to_numpy() for c in categories}})
 
     rows = sample.mapInPandas(vectors, "doc_id long, at array<int>, rate array<float>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values("doc_id").reset_index(drop=True)
-    x = np.zeros((len(rows), len(vocabulary.names)), np.float32)
+    # Columns: the features, a probability for each category (0 until it is known), and 1. Folds are row weights, so x is never copied.
+    first = len(vocabulary.names)
+    x = np.zeros((len(rows), first + len(categories) + 1), np.float32)
+    x[:, -1] = 1
     for row, at, rate in zip(x, rows["at"], rows["rate"]):
         row[np.asarray(at, int)] = rate
     fold = (pd.util.hash_array(rows["doc_id"].to_numpy(np.int64)) % folds).astype(int)
     weights = []
-    for category in categories:
+    for k, category in enumerate(categories):
         y = rows[category].to_numpy(float)
-        if not vocabulary.names or not 0 < y.mean() < 1:
-            constant = np.zeros(x.shape[1] + 1)
+        honest = np.zeros(len(y))
+        if not first or not 0 < y.mean() < 1:
+            constant = np.zeros(x.shape[1])
             constant[-1] = 30.0 if len(y) and y.mean() == 1 else -30.0
             weights.append(constant)
-            honest = np.full(len(y), 1.0 if constant[-1] > 0 else 0.0)
+            honest[:] = constant[-1] > 0
         else:
-            weights.append(fit_logistic(x, y))
-            honest = np.zeros(len(y))
-            for k in range(folds):
-                if (fold == k).any() and (fold != k).any():
-                    honest[fold == k] = predict_logistic(x[fold == k], fit_logistic(x[fold != k], y[fold != k]))
-        x = np.hstack([x, honest[:, None].astype(np.float32)])
+            weights.append(fit_logistic(x, y, np.ones(len(y))))
+            for f in np.unique(fold):
+                honest[fold == f] = predict_logistic(x, fit_logistic(x, y, fold != f))[fold == f]
+        x[:, first + k] = honest
     return Chain(categories, vocabulary, weights)
 
 
