@@ -33,7 +33,7 @@ from winnow_spark.session import read_table
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
-MAX_CHUNKS, MAX_CHUNK_CHARS, PORTION_CHARS = 250_000, 200, 2_000_000
+MAX_CHUNKS, MAX_CHUNK_CHARS, PORTION_CHARS = 120_000, 200, 1_000_000
 OUT = "ids array<int>, decoded string"
 TRIP = "n_tokens long, ids array<int>, round_trip boolean"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"

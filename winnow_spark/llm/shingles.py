@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 WORDS = 5
-PORTION_BYTES = 2_000_000
+PORTION_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _random = np.random.Generator(np.random.PCG64(20240607))
