@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow_spark.session import cut_lineage
+from winnow_spark.session import cut_lineage, release_shuffles
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -33,5 +33,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+        release_shuffles(edges.sparkSession)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

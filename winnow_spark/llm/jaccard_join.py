@@ -17,8 +17,8 @@ loses no link and never lists all pairs of a group:
    checked exactly once on whole sets; failed pairs are remembered.
 5. Pairs of classes already in one component need no check. So groups of more
    than ``SMALL`` classes on a shingle are first met with a pivot each, round
-   by round with other pivots, while this links anything; then all pairs across
-   components that remain are checked: on each shingle, the classes outside its
+   by round with other pivots, while this links a ``PROGRESS``th of the classes;
+   then all pairs across components that remain are checked: on each shingle, the classes outside its
    largest component against all. The first kind keeps a group of g near copies
    at g pairs a round, the second makes the result exact.
 6. The suffix filter bounds what differs over whole sets: each set has 1,024
@@ -53,7 +53,7 @@ from winnow_spark.session import cut_lineage, read_table, release_shuffles
 #: Similarity in per cent.
 PERCENT = 80
 COUNTERS, BLOCK = 1 << 20, 1 << 14
-SMALL, STAR_ROUNDS = 6, 3
+SMALL, STAR_ROUNDS, PROGRESS = 6, 3, 50
 #: Rows of one or two ids that may be broadcast (a few MB); more are shuffled.
 MAX_BROADCAST = 300_000
 #: Words of 64 bits in a set's parity sketch.
@@ -169,8 +169,16 @@ def _met(one: DataFrame, other: DataFrame, every: bool = False) -> DataFrame:
     return pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: by the suffix filter, and whole sets for what passes it."""
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``MAX_BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``: by the suffix filter, and whole sets for what passes it.
+
+    Sets are made again from the texts of those pairs alone, so none are stored.
+    """
 
     @F.pandas_udf("boolean")
     def linked(ones: pd.Series, others: pd.Series) -> pd.Series:
@@ -181,16 +189,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(100 * shared >= PERCENT * (both - shared))
         return pd.Series(out, dtype=bool)
 
-    few = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST else df
-    pairs, sketches = cut_lineage(pairs), sets.select("rep", "n", *SKETCH)
+    pairs = cut_lineage(pairs)
     one = sketches.alias("x").join(few(pairs), F.col("x.rep") == F.col("b")).select("a", "b", F.struct("x.n", *[f"x.{k}" for k in SKETCH]).alias("x"))
     alike = one.join(sketches.alias("y"), F.col("a") == F.col("y.rep")).where(may_be_alike("x", "y", SKETCH)).select("a", "b")
     alike = cut_lineage(alike)
     refused = pairs.join(alike, ["a", "b"], "left_anti").withColumn("linked", F.lit(False))
     pairs = alike
-    withb = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("b_hashes")).join(few(pairs), "b")
     # A pivot's set is shipped once, its partners' sets to it.
-    firsts = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("a_hashes")).join(few(pairs.select("a").distinct()), "a", "left_semi")
+    firsts, seconds = (sets_of(docs, pairs.select(F.col(end).alias("rep")).distinct()).select(F.col("rep").alias(end), F.col("hashes").alias(f"{end}_hashes")) for end in "ab")
+    withb = seconds.join(few(pairs), "b")
     withboth = withb.join(firsts, "a")
     return withboth.select("a", "b", linked("a_hashes", "b_hashes").alias("linked")).unionByName(refused)
 
@@ -202,27 +209,43 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, hashes and parity sketch of the documents whose id is in ``reps``.
+def of_texts(docs: DataFrame, reps: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``make`` makes of (rep, text) of the documents whose id is in ``reps``.
 
-    A bit table of the ids (2 MB at most) spares other documents the hashing
-    and the shuffle; the join then is exact.
+    Few ids are broadcast. For more, a bit table of them (2 MB) spares most other
+    documents the work and the shuffle; the join then is exact.
     """
-    bits = 1 << min(24, max(14, (16 * reps.count()).bit_length()))
+    texts, count = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text"), reps.count()
+    if count <= MAX_BROADCAST:
+        return texts.join(F.broadcast(reps), "rep", "left_semi").mapInPandas(lambda batches: map(make, batches), schema)
+    bits = 1 << min(24, (16 * count).bit_length())
     place = lambda ids: (pd.util.hash_array(ids.to_numpy(np.int64)) & np.uint64(bits - 1)).astype(np.int64)
     table = np.packbits(counted_in_blocks(reps.select("rep"), lambda batch: iter([place(batch["rep"])]), bits) > 0)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = place(batch["rep"])
-            batch = batch[(shared.value[at >> 3] >> (7 - (at & 7))) & 1 > 0]
-            sets = list(shingle_sets(batch["text"]))
-            sketches = np.array([parity_sketch(h) for h in sets], np.int64).reshape(-1, len(SKETCH))
-            yield pd.DataFrame({"rep": batch["rep"].to_numpy(np.int64), "n": np.array([len(h) for h in sets], np.int32), "hashes": pd.Series([h.tobytes() for h in sets], dtype=object), **dict(zip(SKETCH, sketches.T))})
+            yield make(batch[(shared.value[at >> 3] >> (7 - (at & 7))) & 1 > 0])
+
+    return texts.mapInPandas(made, schema).join(reps, "rep", "left_semi")
+
+
+def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and hashes of the documents whose id is in ``reps``."""
+    make = lambda batch: pd.DataFrame({"rep": batch["rep"].to_numpy(np.int64), "hashes": pd.Series([h.tobytes() for h in shingle_sets(batch["text"])], dtype=object)})
+    return of_texts(docs, reps, make, "rep long, hashes binary")
+
+
+def sketches_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, set size and parity sketch of the documents whose id is in ``reps``."""
+
+    def make(batch: pd.DataFrame) -> pd.DataFrame:
+        made = [(len(h), parity_sketch(h)) for h in shingle_sets(batch["text"])]
+        sketches = np.array([k for _, k in made], np.int64).reshape(-1, len(SKETCH))
+        return pd.DataFrame({"rep": batch["rep"].to_numpy(np.int64), "n": np.array([n for n, _ in made], np.int32), **dict(zip(SKETCH, sketches.T))})
 
-    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").mapInPandas(hashed, "rep long, n int, hashes binary, " + ", ".join(f"{k} long" for k in SKETCH))
-    return found.join(F.broadcast(reps) if reps.count() <= MAX_BROADCAST else reps, "rep", "left_semi")
+    return of_texts(docs, reps, make, "rep long, n int, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
 def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,7 +283,7 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
     reps = cut_lineage(opened.select("rep").distinct())
     if not reps.head(1):
         return None
-    sets = cut_lineage(sets_of(docs, reps))
+    sketches, classes = cut_lineage(sketches_of(docs, reps)), reps.count()
     comps = reps.select("rep", F.col("rep").alias("comp"))
     opened = opened.withColumn("comp", F.col("rep"))
     refused, turn = None, 0
@@ -281,26 +304,29 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
                 pairs = pairs.unionByName(_met(rest, rest)).distinct()
         else:
             shares = opened.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-            folded = sets.select("rep", *[F.col(k).bitwiseXOR(F.col(SKETCH[len(FOLDED) + i])).alias(k) for i, k in enumerate(FOLDED)])
+            folded = sketches.select("rep", *[F.col(k).bitwiseXOR(F.col(SKETCH[len(FOLDED) + i])).alias(k) for i, k in enumerate(FOLDED)])
             carried = opened.select(*columns).join(folded, "rep")
             pairs = _met(carried.join(shares, "shingle").where("comp <> largest"), carried, every=True)
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        checked = cut_lineage(verified(pairs, sets))
+        checked = cut_lineage(verified(pairs, sketches, docs))
         links = checked.where("linked").select("a", "b")
-        any_linked = bool(links.head(1))
-        if any_linked:
+        moved = 0
+        if links.head(1):
             of = lambda end: comps.select(F.col("rep").alias(end), F.col("comp").alias(f"{end}_comp"))
             edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v"))
             merged = connected_components(edges).select(F.col("node").alias("comp"), "component")
-            comps = cut_lineage(comps.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
+            comps = cut_lineage(comps.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"), (F.col("component") != F.col("comp")).alias("moved")))
+            changed = comps.where("moved").select("rep", F.col("comp").alias("now"))
+            moved = changed.count()
+            opened = opened.select(*columns).join(few(changed), "rep", "left").withColumn("comp", F.coalesce("now", "comp"))
         if turn >= STAR_ROUNDS:  # every pair across components has been checked
             return comps
-        opened = opened.select("shingle", "rep", "n", "place", "before").join(comps, "rep")
+        opened = opened.select(*columns)
         release_shuffles(docs.sparkSession)
         failed = checked.where("NOT linked").select("a", "b")
         refused = failed if refused is None else refused.unionByName(failed)
-        turn = turn + 1 if any_linked else STAR_ROUNDS
+        turn = turn + 1 if PROGRESS * moved >= classes else STAR_ROUNDS
 
 
 def keep_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
