@@ -53,7 +53,7 @@ from winnow_spark.session import cut_lineage, read_table, release_shuffles
 #: Similarity in per cent.
 PERCENT = 80
 COUNTERS, BLOCK = 1 << 20, 1 << 14
-SMALL, STAR_ROUNDS, PROGRESS = 6, 3, 50
+SMALL, STAR_ROUNDS, PROGRESS = 2, 3, 50
 #: Rows of one or two ids that may be broadcast (a few MB); more are shuffled.
 MAX_BROADCAST = 300_000
 #: Words of 64 bits in a set's parity sketch.
@@ -174,10 +174,12 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, every: bool) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: by the suffix filter, and whole sets for what passes it.
 
     Sets are made again from the texts of those pairs alone, so none are stored.
+    Unless ``every`` pair is asked for, of a class's pairs one is checked; the
+    rest get no row and are met again, if still in different components.
     """
 
     @F.pandas_udf("boolean")
@@ -194,7 +196,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFram
     alike = one.join(sketches.alias("y"), F.col("a") == F.col("y.rep")).where(may_be_alike("x", "y", SKETCH)).select("a", "b")
     alike = cut_lineage(alike)
     refused = pairs.join(alike, ["a", "b"], "left_anti").withColumn("linked", F.lit(False))
-    pairs = alike
+    pairs = alike if every else cut_lineage(alike.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b"))
     # A pivot's set is shipped once, its partners' sets to it.
     firsts, seconds = (sets_of(docs, pairs.select(F.col(end).alias("rep")).distinct()).select(F.col("rep").alias(end), F.col("hashes").alias(f"{end}_hashes")) for end in "ab")
     withb = seconds.join(few(pairs), "b")
@@ -256,13 +258,13 @@ def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     postings = prefix_postings(classes.select("rep", "n", "prefix"))
-    several = postings.groupBy("shingle").count().where("count > 1").select("shingle")
-    meeting = postings.join(several, "shingle", "left_semi")
+    several = postings.groupBy("shingle").count().withColumnRenamed("count", "size").where("size > 1")
+    meeting = postings.join(several, "shingle")
     # The shingle before, among those that meet.
-    in_order = F.array_sort(F.collect_list(F.struct("place", "shingle")))
+    in_order = F.array_sort(F.collect_list(F.struct("place", "shingle", "size")))
     listed = meeting.groupBy("rep", "n").agg(in_order.alias("steps"))
     listed = listed.select("rep", "n", F.posexplode("steps").alias("k", "step"), "steps")
-    opened = listed.select(F.col("step.shingle").alias("shingle"), "rep", "n", F.col("step.place").alias("place"), F.when(F.col("k") > 0, F.element_at("steps", F.greatest("k", F.lit(1)))["shingle"]).alias("before"))
+    opened = listed.select(F.col("step.shingle").alias("shingle"), "rep", "n", F.col("step.place").alias("place"), F.when(F.col("k") > 0, F.element_at("steps", F.greatest("k", F.lit(1)))["shingle"]).alias("before"), F.col("step.size").alias("size"))
     opened = cut_lineage(opened)
     release_shuffles(docs.sparkSession)
     components = linked_classes(docs, opened)
@@ -288,10 +290,11 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
     opened = opened.withColumn("comp", F.col("rep"))
     refused, turn = None, 0
     while True:
-        sizes = opened.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most").select("shingle", "size")
-        opened = cut_lineage(opened.join(sizes, "shingle"))
-        if not opened.head(1):
-            return comps
+        if turn:  # at first all shingles have several components
+            sizes = opened.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most").select("shingle", "size")
+            opened = cut_lineage(opened.join(sizes, "shingle"))
+            if not opened.head(1):
+                return comps
         columns = ["shingle", "rep", "n", "place", "before", "comp"]
         if turn < STAR_ROUNDS:
             small = 0 if turn else SMALL
@@ -309,7 +312,7 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
             pairs = _met(carried.join(shares, "shingle").where("comp <> largest"), carried, every=True)
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        checked = cut_lineage(verified(pairs, sketches, docs))
+        checked = cut_lineage(verified(pairs, sketches, docs, every=turn >= STAR_ROUNDS))
         links = checked.where("linked").select("a", "b")
         moved = 0
         if links.head(1):
