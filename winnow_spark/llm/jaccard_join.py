@@ -5,8 +5,9 @@ at least 0.8 (100 * intersection >= 80 * union, in whole numbers). The join
 loses no link and never lists all pairs of a group:
 
 1. Shingle frequencies are counted over all documents in a table of fixed size
-   (2**20 counters by hash). They give one global order, rarest first; any one
-   order gives exact results, a truer one fewer candidates.
+   (2**24 counters by hash, kept as eighths of an octave in 16 MB). They give
+   one global order, rarest first; any one order gives exact results, a truer
+   one fewer candidates.
 2. Documents with equal sets form a class; its least id represents it.
 3. A set of n shingles has a prefix of its n - ceil(0.8 n) + 1 first ones. Sets
    that link share a shingle of both prefixes, so classes meet in an equi-join
@@ -52,7 +53,7 @@ from winnow_spark.session import cut_lineage, read_table, release_shuffles
 
 #: Similarity in per cent.
 PERCENT = 80
-COUNTERS, BLOCK = 1 << 20, 1 << 14
+COUNTERS, BLOCK = 1 << 24, 1 << 16
 SMALL, STAR_ROUNDS, PROGRESS = 2, 3, 50
 #: Rows of one or two ids that may be broadcast (a few MB); more are shuffled.
 MAX_BROADCAST = 300_000
@@ -66,22 +67,31 @@ def counted_in_blocks(df: DataFrame, places: Callable[[pd.DataFrame], Iterator[n
     """How often each place in [0, size) occurs: one small array a partition, added up by block."""
     block = min(size, BLOCK)
 
+    def packed(counts: np.ndarray) -> bytes:  # as single bytes where they suffice
+        return zlib.compress(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), 1)
+
+    def unpacked(held: bytes) -> np.ndarray:
+        raw = zlib.decompress(held)
+        return np.frombuffer(raw, np.uint8 if len(raw) == block else np.uint32)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(size, np.uint32)
         for batch in batches:
             for at in places(batch):
                 np.add.at(counts, at, 1)
         parts = [(k, part) for k, part in enumerate(counts.reshape(-1, block)) if part.any()]
-        yield pd.DataFrame({"block": [k for k, _ in parts], "counts": pd.Series([zlib.compress(p.tobytes(), 1) for _, p in parts], dtype=object)})
+        yield pd.DataFrame({"block": [k for k, _ in parts], "counts": pd.Series([packed(p) for _, p in parts], dtype=object)})
 
     def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in parts["counts"])
-        return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+        total = np.zeros(block, np.int64)
+        for held in parts["counts"]:
+            total += unpacked(held)
+        return pd.DataFrame({"block": [key[0]], "counts": [packed(np.minimum(total, 2**32 - 1))]})
 
     summed = df.mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
-    out = np.zeros(size, np.int64)
+    out = np.zeros(size, np.uint32)
     for row in summed.collect():  # size / BLOCK rows at most
-        out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+        out[row["block"] * block : (row["block"] + 1) * block] = unpacked(row["counts"])
     return out
 
 
@@ -98,9 +108,10 @@ def _portions(arrays: Iterator[np.ndarray], least: int = 300_000) -> Iterator[np
 
 
 def shingle_frequencies(docs: DataFrame) -> np.ndarray:
-    """Documents by shingle hash modulo ``COUNTERS``, over all of ``docs`` (text)."""
+    """How many documents have a shingle, in eighths of an octave, by its hash modulo ``COUNTERS``; over all of ``docs`` (text)."""
     places = lambda batch: ((p & (COUNTERS - 1)) for p in _portions(shingle_sets(batch["text"])))
-    return np.minimum(counted_in_blocks(docs.select("text"), places, COUNTERS), 2**31 - 1).astype(np.int32)
+    counts = counted_in_blocks(docs.select("text"), places, COUNTERS)
+    return (8 * np.log2(counts + np.float32(1))).astype(np.uint8)
 
 
 def prefix_length(n: int) -> int:
@@ -109,7 +120,7 @@ def prefix_length(n: int) -> int:
 
 def signed_sets(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     """doc_id, n, a 128-bit signature of the set (s1, s2) and its prefix, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # 4 MB whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # 16 MB whatever the input
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = shared.value
