@@ -63,8 +63,8 @@ SKETCH = [f"k{i}" for i in range(16)]
 FOLDED = SKETCH[:8]
 
 
-def counted_in_blocks(df: DataFrame, places: Callable[[pd.DataFrame], Iterator[np.ndarray]], size: int) -> np.ndarray:
-    """How often each place in [0, size) occurs: one small array a partition, added up by block."""
+def counted_in_blocks(df: DataFrame, places: Callable[[pd.DataFrame], Iterator[np.ndarray]], size: int, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each place in [0, size) occurs, as bytes by ``level``: one small array a partition, added up by block."""
     block = min(size, BLOCK)
 
     def packed(counts: np.ndarray) -> bytes:  # as single bytes where they suffice
@@ -86,10 +86,10 @@ def counted_in_blocks(df: DataFrame, places: Callable[[pd.DataFrame], Iterator[n
         total = np.zeros(block, np.int64)
         for held in parts["counts"]:
             total += unpacked(held)
-        return pd.DataFrame({"block": [key[0]], "counts": [packed(np.minimum(total, 2**32 - 1))]})
+        return pd.DataFrame({"block": [key[0]], "counts": [packed(level(total))]})
 
     summed = df.mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
-    out = np.zeros(size, np.uint32)
+    out = np.zeros(size, np.uint8)
     for row in summed.collect():  # size / BLOCK rows at most
         out[row["block"] * block : (row["block"] + 1) * block] = unpacked(row["counts"])
     return out
@@ -110,8 +110,7 @@ def _portions(arrays: Iterator[np.ndarray], least: int = 300_000) -> Iterator[np
 def shingle_frequencies(docs: DataFrame) -> np.ndarray:
     """How many documents have a shingle, in eighths of an octave, by its hash modulo ``COUNTERS``; over all of ``docs`` (text)."""
     places = lambda batch: ((p & (COUNTERS - 1)) for p in _portions(shingle_sets(batch["text"])))
-    counts = counted_in_blocks(docs.select("text"), places, COUNTERS)
-    return (8 * np.log2(counts + np.float32(1))).astype(np.uint8)
+    return counted_in_blocks(docs.select("text"), places, COUNTERS, lambda counts: np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8))
 
 
 def prefix_length(n: int) -> int:
@@ -233,7 +232,7 @@ def of_texts(docs: DataFrame, reps: DataFrame, make: Callable[[pd.DataFrame], pd
         return texts.join(F.broadcast(reps), "rep", "left_semi").mapInPandas(lambda batches: map(make, batches), schema)
     bits = 1 << min(24, (16 * count).bit_length())
     place = lambda ids: (pd.util.hash_array(ids.to_numpy(np.int64)) & np.uint64(bits - 1)).astype(np.int64)
-    table = np.packbits(counted_in_blocks(reps.select("rep"), lambda batch: iter([place(batch["rep"])]), bits) > 0)
+    table = np.packbits(counted_in_blocks(reps.select("rep"), lambda batch: iter([place(batch["rep"])]), bits, lambda counts: counts > 0) > 0)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
