@@ -1,7 +1,9 @@
 """Each operator on small tables: odd rows, ties, repeats, empty tables, clashing names; against brute force where SQL can't say it."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -198,6 +200,36 @@ def test_licenses(spark, docs, empty):
     assert own["labels"] == "bsd" and own["base_labels"] == "" and 0.9 <= own["score"] < 1
 
 
+def brute_labels(text):
+    words = [w for w in re.split(licenses.SEPARATOR, (text or "").lower()) if w]
+    found = {}
+    for label, notice in licenses.TEMPLATES:
+        own, width = set(notice.split()), math.ceil(licenses.SPREAD * len(notice.split()))
+        best = max((len(own & set(words[i : i + width])) for i in range(len(words))), default=0)
+        if best >= 0.9 * len(own) - 1e-9:
+            found[label] = max(found.get(label, 0), best / len(own))
+    return found
+
+
+def test_licenses_wrapped(spark):
+    """Notices over several lines, in comments and long texts; all windows against brute force."""
+    bsd = " * Redistribution and use in source and binary forms,\n * with or without modification, are permitted provided\n * that the following conditions are met:"
+    isc = "Permission to use, copy, modify, and/or\nREM distribute this software for any purpose\nREM with or without fee is hereby granted"
+    draw, texts = random.Random(3), [bsd, isc, prose(5, 300) + "\n" + bsd + "\n" + prose(6, 300), bsd.replace("\n", "\n" + prose(7, 9) + "\n")]
+    for _, notice in licenses.TEMPLATES:
+        for gap in (2, 4, 6):
+            words = [w for w in notice.split() if draw.random() > 0.03]
+            for _ in range(len(words) // gap):
+                words.insert(draw.randrange(len(words)), f"x{draw.randrange(9)}\n")
+            texts.append(" ".join([prose(draw.randrange(99), draw.randrange(40)), *words, prose(8, 5)]))
+    rows = table(spark, texts)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(rows).collect()}
+    assert [got[i]["labels"] for i in range(4)] == ["bsd", "isc", "bsd", ""] and got[0]["score"] == got[2]["score"] == 1.0
+    matched = licenses.match_templates(rows.select("doc_id", licenses._lower(rows["text"]).alias("lowered")), ["doc_id"])
+    want = {(i, label): share for i, t in enumerate(texts) for label, share in brute_labels(t).items()}
+    assert {(r["doc_id"], r["label"]): r["share"] for r in matched.collect()} == pytest.approx(want) and len(want) > 20
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.curriculum(docs).toPandas()
     words = {i: len((t or "").encode().split()) for i, t in enumerate(odd_texts())}

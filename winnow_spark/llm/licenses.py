@@ -1,15 +1,15 @@
 """License scans: exact phrases, and a set-similarity join with templates.
 
 Phrases are found where their words stand one after another (``scan_phrases``).
-Templates are license notices taken as sets of words; a text block (a line)
-has a template's license if it holds at least ``CONTAINED`` of the template's
-words. The join is exact. Template words are put in one global order, rarest in
-the corpus first (counted over all documents). A template of n words that must
-share o of them has a prefix of its n - o + 1 rarest; a block without any of
-these can't reach o. Blocks that share a prefix word are met by an equi-join on
-it; then the length filter (the block has at least o words) and the positional
-filter (from its first shared prefix word on, the block has at least o template
-words left), and what remains is verified by intersection.
+Templates are license notices taken as sets of words. A document has a
+template's license if some ``SPREAD`` times as many words in a row as the notice
+has, whatever lines they stand on, hold at least ``CONTAINED`` of its words. The
+join is exact over all such windows. Template words are put in one global order,
+rarest in the corpus first (counted over all documents). A template of n words
+that must share o of them has a prefix of its n - o + 1 rarest; a window without
+any of these can't reach o. Each place of a prefix word is met with its
+templates by an equi-join; what can't reach o with all words within reach of the
+place is dropped, and every window around the rest is verified by intersection.
 
 DataFrame functions only. Templates are constants of this module, so what is
 broadcast has a fixed size; documents are not shuffled, only one slim row each.
@@ -30,6 +30,8 @@ from winnow_spark.session import cut_lineage, read_table
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINED = 0.9
+#: Room in a window for words that a notice has besides the template's, such as comment marks before its lines.
+SPREAD = 1.25
 
 # Phrases and notices of public licenses, with their labels.
 PHRASES = {
@@ -109,31 +111,28 @@ def word_order(lowered: DataFrame, words: list[str]) -> list[str]:
 
 
 def match_templates(lowered: DataFrame, keys: list[str], templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
-    """``keys``, ``label``, ``share``: for every row with a matching block, its labels and their best containment."""
-    sets = [(label, sorted(set(text.split(" ")))) for label, text in templates]
-    order = word_order(lowered, sorted({w for _, s in sets for w in s}))
-    rank = {w: i + 1 for i, w in enumerate(order)}
-    rows, prefix_words = [], set()
-    for number, (label, words) in enumerate(sets):
-        ranks = sorted(rank[w] for w in words)
-        need = math.ceil(contained * len(ranks) - 1e-9)
-        for place, r in enumerate(ranks[: len(ranks) - need + 1]):
-            rows.append((number, label, r, place, ranks, need))
-            prefix_words.add(order[r - 1])
-    prefixes = lowered.sparkSession.createDataFrame(rows, "template int, label string, prefix_rank int, place int, template_ranks array<int>, need int")
-    shortest = min(r[5] for r in rows)
-
-    blocks = lowered.select(*keys, F.explode(F.split("lowered", "\n")).alias("line"))
-    blocks = blocks.select(*keys, F.array_distinct(F.split("line", SEPARATOR)).alias("words"))
-    blocks = blocks.where((F.size("words") >= shortest) & F.arrays_overlap("words", _strings(sorted(prefix_words))))
-    ranked = F.array_sort(F.transform(F.array_intersect("words", _strings(order)), lambda w: F.array_position(_strings(order), w).cast("int")))
-    blocks = blocks.select(*keys, F.size("words").alias("size"), ranked.alias("ranks"))
-    met = blocks.select("*", F.posexplode("ranks").alias("block_place", "prefix_rank")).join(F.broadcast(prefixes), "prefix_rank")
-    met = met.where((F.col("size") >= F.col("need")) & (F.size("ranks") - F.col("block_place") >= F.col("need")) & (F.size("template_ranks") - F.col("place") >= F.col("need")))
-    # Verified once a pair: at the first shared word of the prefix only.
-    shared = F.array_intersect("ranks", "template_ranks")
-    met = met.where(F.element_at(shared, 1) == F.col("prefix_rank")).where(F.size(shared) >= F.col("need"))
-    return met.groupBy(*keys, "label").agg(F.max(F.size(shared) / F.size("template_ranks")).alias("share"))
+    """``keys``, ``label``, ``share``: for every row with a matching window, its labels and their best containment."""
+    sets = [(label, sorted(set(text.split(" "))), math.ceil(SPREAD * len(text.split(" ")))) for label, text in templates]
+    order = word_order(lowered, sorted({w for _, s, _ in sets for w in s}))
+    rank = {w: i for i, w in enumerate(order)}
+    rows = []
+    for label, words, width in sets:
+        need = math.ceil(contained * len(words) - 1e-9)
+        rows += [(w, label, words, need, width) for w in sorted(words, key=rank.get)[: len(words) - need + 1]]
+    prefixes = lowered.sparkSession.createDataFrame(rows, "prefix string, label string, template array<string>, need int, width int")
+    prefix_words, reach = sorted({r[0] for r in rows}), max(r[4] for r in rows)
+
+    texts = lowered.select(*keys, F.split("lowered", SEPARATOR).alias("words")).where(F.arrays_overlap("words", _strings(prefix_words)))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefix_words), i)), lambda i: i.isNotNull())
+    # The words that a window over the place may have, from the array's start or ``width - 1`` words before on.
+    within = lambda words, at, width: F.slice(words, F.greatest(at - width + 2, F.lit(1)), F.least(at, width - 1) + width)
+    spans = F.transform(places, lambda at: F.struct(F.element_at("words", at + 1).alias("prefix"), F.least(at, F.lit(reach - 1)).alias("place"), within("words", at, F.lit(reach)).alias("near")))
+    met = texts.select(*keys, F.explode(spans).alias("span")).select(*keys, "span.*").join(F.broadcast(prefixes), "prefix")
+    held = lambda words: F.size(F.array_intersect("template", words))
+    met = met.where(held(within("near", F.col("place"), F.col("width"))) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("place") - F.col("width") + 2, F.lit(1)), F.col("place") + 1)
+    best = met.select(*keys, "label", "template", "need", F.array_max(F.transform(starts, lambda s: held(F.slice("near", s, F.col("width"))))).alias("best"))
+    return best.where("best >= need").groupBy(*keys, "label").agg(F.max(F.col("best") / F.size("template")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINED) -> DataFrame:
