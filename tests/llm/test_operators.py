@@ -205,7 +205,9 @@ def brute_labels(text):
     found = {}
     for label, notice in licenses.TEMPLATES:
         own, width = set(notice.split()), math.ceil(licenses.SPREAD * len(notice.split()))
-        best = max((len(own & set(words[i : i + width])) for i in range(len(words))), default=0)
+        must, foreign = licenses.MARKS.get(label, ((), ()))
+        windows = [set(words[i : i + n]) for i in range(len(words)) for n in range(1, width + 1)]
+        best = max((len(own & w) for w in windows if w.issuperset(must) and not w.intersection(foreign)), default=0)
         if best >= 0.9 * len(own) - 1e-9:
             found[label] = max(found.get(label, 0), best / len(own))
     return found
@@ -230,6 +232,26 @@ def test_licenses_wrapped(spark):
     assert {(r["doc_id"], r["label"]): r["share"] for r in matched.collect()} == pytest.approx(want) and len(want) > 20
 
 
+def test_licenses_siblings(spark):
+    gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    file = "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.{}"
+    cases = {
+        gnu.format("program", ""): "gpl", gnu.format("library", ""): "gpl", gnu.format("program", "Affero "): "agpl",
+        gnu.format("library", "Lesser "): "lgpl", gnu.format("library", "Library "): "lgpl", gnu.format("program", "Lesser "): "lgpl",
+        gnu.format("program", "") + ".\n" + gnu.format("program", "Affero "): "agpl,gpl",
+        cc.format(""): "cc-by", cc.format("-ShareAlike"): "cc-by-sa", cc.format("-Share Alike"): "cc-by-sa", cc.format("-NonCommercial"): "",
+        cc.format("-NonCommercial-ShareAlike"): "", cc.format("-ShareAlike") + " " + cc.format(""): "cc-by,cc-by-sa",
+        file.format("apache.org/licenses/"): "apache", file.format("mozilla.org/MPL/"): "",
+        "This Source Code Form is subject to the terms of the Eclipse Public License": "",
+        "We released the software into the public domain and this version is free.": "",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        " ".join(f"{w} {prose(k, 6)}" for k, w in enumerate(licenses.TEMPLATES[8][1].split())): "",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(table(spark, list(cases))).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.curriculum(docs).toPandas()
     words = {i: len((t or "").encode().split()) for i, t in enumerate(odd_texts())}

@@ -3,8 +3,9 @@
 Phrases are found where their words stand one after another (``scan_phrases``).
 Templates are license notices taken as sets of words. A document has a
 template's license if some ``SPREAD`` times as many words in a row as the notice
-has, whatever lines they stand on, hold at least ``CONTAINED`` of its words. The
-join is exact over all such windows. Template words are put in one global order,
+has, whatever lines they stand on, hold at least ``CONTAINED`` of its words, and
+among these the ones that set it apart, but none that names a sibling (``MARKS``;
+a window ends at such a word). The join is exact over all such windows. Template words are put in one global order,
 rarest in the corpus first (counted over all documents). A template of n words
 that must share o of them has a prefix of its n - o + 1 rarest; a window without
 any of these can't reach o. Each place of a prefix word is met with its
@@ -58,6 +59,21 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+#: By label: words a window must hold, and words of sibling licenses that it must not.
+MARKS = {
+    "gpl": (("gnu",), ("lesser", "affero")),
+    "lgpl": (("lesser",), ("affero",)),
+    "agpl": (("affero",), ("lesser",)),
+    "apache": (("apache",), ()),
+    "mpl": (("mozilla",), ()),
+    "cc-by": (("attribution",), ("sharealike", "noncommercial", "commercial", "noderivatives", "noderivs", "derivatives", "derivs", "nc", "nd", "sa")),
+    "cc-by-nc": (("nc",), ("nd", "sa")),
+    "cc-by-sa": (("sharealike",), ("noncommercial", "commercial", "nc")),
+    "unlicense": (("unencumbered",), ()),
+}
+#: Other names of marks: the Lesser license's former one, and a spelling.
+SPELLINGS = (("library", "general", "lesser general"), ("share", "alike", "sharealike"))
+
 
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
@@ -110,17 +126,26 @@ def word_order(lowered: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
+def _one_spelling(lowered: Column) -> Column:
+    for first, second, put in SPELLINGS:
+        lowered = F.when(lowered.contains(first), F.regexp_replace(lowered, rf"\b{first}{SEPARATOR}{second}\b", put)).otherwise(lowered)
+    return lowered
+
+
 def match_templates(lowered: DataFrame, keys: list[str], templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """``keys``, ``label``, ``share``: for every row with a matching window, its labels and their best containment."""
+    lowered = lowered.select(*keys, _one_spelling(F.col("lowered")).alias("lowered"))
     sets = [(label, sorted(set(text.split(" "))), math.ceil(SPREAD * len(text.split(" ")))) for label, text in templates]
     order = word_order(lowered, sorted({w for _, s, _ in sets for w in s}))
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for label, words, width in sets:
         need = math.ceil(contained * len(words) - 1e-9)
-        rows += [(w, label, words, need, width) for w in sorted(words, key=rank.get)[: len(words) - need + 1]]
-    prefixes = lowered.sparkSession.createDataFrame(rows, "prefix string, label string, template array<string>, need int, width int")
-    prefix_words, reach = sorted({r[0] for r in rows}), max(r[4] for r in rows)
+        marks, foreign = MARKS.get(label, ((), ()))
+        marks, foreign = [w for w in marks if w in words], [w for w in foreign if w not in words]
+        rows += [(w, label, words, marks, foreign, need, width) for w in sorted(words, key=rank.get)[: len(words) - need + 1]]
+    prefixes = lowered.sparkSession.createDataFrame(rows, "prefix string, label string, template array<string>, marks array<string>, foreign array<string>, need int, width int")
+    prefix_words, reach = sorted({r[0] for r in rows}), max(r[-1] for r in rows)
 
     texts = lowered.select(*keys, F.split("lowered", SEPARATOR).alias("words")).where(F.arrays_overlap("words", _strings(prefix_words)))
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefix_words), i)), lambda i: i.isNotNull())
@@ -128,8 +153,11 @@ def match_templates(lowered: DataFrame, keys: list[str], templates=TEMPLATES, co
     within = lambda words, at, width: F.slice(words, F.greatest(at - width + 2, F.lit(1)), F.least(at, width - 1) + width)
     spans = F.transform(places, lambda at: F.struct(F.element_at("words", at + 1).alias("prefix"), F.least(at, F.lit(reach - 1)).alias("place"), within("words", at, F.lit(reach)).alias("near")))
     met = texts.select(*keys, F.explode(spans).alias("span")).select(*keys, "span.*").join(F.broadcast(prefixes), "prefix")
-    held = lambda words: F.size(F.array_intersect("template", words))
+    held = lambda words: F.when(F.size(F.array_except("marks", words)) == 0, F.size(F.array_intersect("template", words)))
     met = met.where(held(within("near", F.col("place"), F.col("width"))) >= F.col("need"))
+    other = lambda side: F.transform("near", lambda w, i: F.when(side(i) & F.array_contains("foreign", w), i))
+    met = met.select("*", F.coalesce(F.array_max(other(lambda i: i < F.col("place"))) + 1, F.lit(0)).alias("first"), F.coalesce(F.array_min(other(lambda i: i > F.col("place"))), F.size("near")).alias("end"))
+    met = met.select(*keys, "label", "template", "marks", "need", "width", (F.col("place") - F.col("first")).alias("place"), F.slice("near", F.col("first") + 1, F.col("end") - F.col("first")).alias("near"))
     starts = F.sequence(F.greatest(F.col("place") - F.col("width") + 2, F.lit(1)), F.col("place") + 1)
     best = met.select(*keys, "label", "template", "need", F.array_max(F.transform(starts, lambda s: held(F.slice("near", s, F.col("width"))))).alias("best"))
     return best.where("best >= need").groupBy(*keys, "label").agg(F.max(F.col("best") / F.size("template")).alias("share"))
