@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from winnow_spark.llm import jaccard_join, mixing, quality, sentencepieces, toxicity
 from winnow_spark.session import read_table, use_checkpoint_dir
@@ -36,8 +37,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = sentencepieces.encode_round_trip(docs, sentencepieces.piece_model())
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
+    """``place`` grows along the training order, and tells two passes of a document apart.
+
+    The mixing stage's files are numbered in that order, and so are the rows in
+    each; a scan keeps neither, so both are read from the files' metadata.
+    """
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    place = F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
+    encoded = sentencepieces.encode_round_trip(docs.withColumn("place", place), sentencepieces.piece_model())
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip", "place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

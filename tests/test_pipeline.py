@@ -1,0 +1,30 @@
+"""The pipeline's stages on a small folder of tables."""
+
+import random
+
+import corpus_pipeline
+import pytest
+
+from winnow_spark.llm import mixing
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """The mix of many documents, and its files as the pipeline writes them: several, of unlike sizes."""
+    draw = random.Random(2)
+    rows = [(i, " ".join(draw.choice(["an", "old", "house\n", "stood", "there"]) for _ in range(draw.randrange(1, 400 if i % 50 else 4000))), "en", "ab"[i % 2], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = str(tmp_path_factory.mktemp("mixed") / "files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(out)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return docs, out
+
+
+def test_training_order_reaches_the_result(spark, mixed):
+    docs, out = mixed
+    passes = []
+    for r in mixing.curriculum(docs).collect():
+        passes += [(r["position"], r["doc_id"])] * (r["first_taken"] > 0) + [(r["again_position"], r["doc_id"])] * (r["taken"] > r["first_taken"])
+    got = corpus_pipeline.encode_pieces(spark, spark.read.parquet(out), "").orderBy("place").collect()
+    assert [r["doc_id"] for r in got] == [i for _, i in sorted(passes)] and len({r["place"] for r in got}) == len(got) > len({i for _, i in passes})
