@@ -28,3 +28,10 @@ def test_training_order_reaches_the_result(spark, mixed):
         passes += [(r["position"], r["doc_id"])] * (r["first_taken"] > 0) + [(r["again_position"], r["doc_id"])] * (r["taken"] > r["first_taken"])
     got = corpus_pipeline.encode_pieces(spark, spark.read.parquet(out), "").orderBy("place").collect()
     assert [r["doc_id"] for r in got] == [i for _, i in sorted(passes)] and len({r["place"] for r in got}) == len(got) > len({i for _, i in passes})
+
+
+def test_cut_copies_keep_their_lines(spark, mixed):
+    docs, out = mixed
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    cut = [r for r in spark.read.parquet(out).collect() if r["text"] != texts[r["doc_id"]]]
+    assert cut and all(texts[r["doc_id"]].startswith(r["text"]) and "\n" in r["text"] and r["n_chars"] == len(r["text"]) for r in cut)

@@ -109,8 +109,8 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     """The mix itself: the columns of ``docs``, a row for each time a document is taken, in training order.
 
     Where the target is reached within a document, that last copy keeps only
-    the words taken, joined by single spaces (and ``n_chars``, if there, is set
-    anew). Documents of which nothing is taken, and so those without words, go.
+    the words taken, with what stands between them (and ``n_chars``, if there,
+    is set anew). Documents of which nothing is taken, and so those without words, go.
     """
     alike = Window.partitionBy("__id", "__hash", "__source").orderBy("__hash")
     plan = curriculum(docs, id, text, source, share)
@@ -125,8 +125,8 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     copies = rows.join(plan.hint("shuffle_hash"), on).select("__row", "size", rows["__id"], F.explode("passes").alias("pass")).where("pass.words > 0")
     copies = copies.repartitionByRange(F.col("pass.at"), F.col("__id")).sortWithinPartitions("pass.at", "__id")
     whole = F.col("pass.words") == F.col("size")
-    words = F.filter(F.split(F.col("__row")[text], r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("pass.words").cast("int")), " ")
+    words = F.split(F.col("__row")[text], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("pass.words").cast("int")), "")
     changed = {text: cut} | ({"n_chars": F.length(cut).cast("long")} if "n_chars" in docs.columns else {})
     value = lambda c: F.when(whole, F.col("__row")[c]).otherwise(changed[c]) if c in changed else F.col("__row")[c]
     return copies.select(*[value(c).alias(c) for c in docs.columns])
