@@ -135,6 +135,18 @@ def test_jaccard_near_group(spark):
     assert {tuple(r) for r in jaccard_join.link_components(table(spark, texts)).collect()} == brute_components(rows)
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id are one document: it links if any of its texts does, and none of its texts is dropped alone."""
+    a, b, c, d = (prose(k) for k in (21, 22, 23, 24))
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, d), (9, d), (11, ""), (11, d), (12, "  "), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "s", "h", "v") for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(docs).collect()), key=str)
+    of = {1: 1, 5: 1, 7: 1, 9: 9, 11: 9, 12: 12, None: None}
+    assert got == sorted(((i, len(shingle_set(t)), of[i]) for i, t in rows), key=str)
+    kept = {(r["doc_id"], r["text"]) for r in jaccard_join.keep_representatives(docs).collect()}
+    assert kept == {(1, a), (9, c), (9, d), (12, "  "), (None, a)} and jaccard_join.keep_representatives(docs).count() == 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 45), (60, 60)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

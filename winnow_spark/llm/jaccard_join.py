@@ -263,7 +263,27 @@ def sketches_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     docs = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    signed = cut_lineage(signed_sets(docs, shingle_frequencies(docs)))
+    frequencies = shingle_frequencies(docs)
+    signed = cut_lineage(signed_sets(docs, frequencies))
+    sets = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(s).alias(f"{f.__name__}_{s}") for f in (F.min, F.max) for s in ("s1", "s2")])
+    if not sets.where("min_s1 <> max_s1 OR min_s2 <> max_s2").head(1):
+        return _linked(docs, signed)
+
+    # An id with unlike texts: each text is linked by a key of its own, then the components of one id are tied.
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text")
+    own = keyed.select(F.col("key").alias("doc_id"), "text")
+    known = _linked(own, cut_lineage(signed_sets(own, frequencies))).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
+    rows = cut_lineage(keyed.select("doc_id", "key").join(known, "key"))
+    edges = rows.join(rows.groupBy("doc_id").agg(F.min("component_id").alias("v")), "doc_id").select(F.col("component_id").alias("u"), "v")
+    tied = connected_components(edges).select(F.col("node").alias("component_id"), F.col("component").alias("tied"))
+    rows = rows.join(tied, "component_id", "left").withColumn("tied", F.coalesce("tied", "component_id"))
+    least = rows.groupBy("tied").agg(F.min("doc_id").alias("least"))
+    nameless = signed.where("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.join(least, "tied").select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(nameless)
+
+
+def _linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """:func:`link_components` where rows of one id have one set."""
     held = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
@@ -345,13 +365,13 @@ def linked_classes(docs: DataFrame, opened: DataFrame) -> DataFrame | None:
 def keep_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one of the least id; rows with a null id all stay.
 
-    Where rows share an id, one of them stays.
+    Where rows share an id and a text, one of them stays.
     """
     members = cut_lineage(link_components(docs, id, text))
     others = members.where("component_id <> doc_id").select(F.col("doc_id").alias("__other")).distinct()
     kept = docs.join(others.hint("shuffle_hash"), docs[id].cast("long") == others["__other"], "left_anti")
     if members.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.where(docs[id].isNotNull()).dropDuplicates([id]).unionByName(kept.where(docs[id].isNull()))
+        kept = kept.where(docs[id].isNotNull()).dropDuplicates([id, text]).unionByName(kept.where(docs[id].isNull()))
     return kept
 
 
