@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: Fitted models can't be said in SQL; tests hold the stages against brute force.
+#: Fitted models can't be said in SQL; tests hold the run against the two fitted stages' judgements and brute force of the rest.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,9 @@ import random
 import corpus_pipeline
 import pytest
 
-from winnow_spark.llm import mixing
+from winnow_spark.llm import mixing, quality, registry, sentencepieces, toxicity
+
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +37,39 @@ def test_cut_copies_keep_their_lines(spark, mixed):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     cut = [r for r in spark.read.parquet(out).collect() if r["text"] != texts[r["doc_id"]]]
     assert cut and all(texts[r["doc_id"]].startswith(r["text"]) and "\n" in r["text"] and r["n_chars"] == len(r["text"]) for r in cut)
+
+
+def test_run(spark):
+    """The whole run: the two fitted stages by their judgement of each row, the others by brute force."""
+    import sentencepiece
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r["doc_id"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where("is_toxic").collect()}
+    clean = docs.where(~docs["doc_id"].isin(list(toxic)))
+    good = {r["doc_id"] for r in quality.judge_quality(clean, quality.fit_quality(clean, labels)).where("kept").collect()}
+    texts = {r["doc_id"]: r["text"] for r in clean.collect() if r["doc_id"] in good}
+    words = {i: t.encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    comp = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = {k: new if c == old else c for k, c in comp.items()}
+    kept = {i for i in comp if comp[i] == i}
+    assert 0 < len(kept) < len(good) and toxic
+    passes = []
+    for r in mixing.curriculum(docs.where(docs["doc_id"].isin(list(kept)))).collect():
+        for taken, at in ((r["first_taken"], r["position"]), (r["taken"] - r["first_taken"], r["again_position"])):
+            passes += [(at, r["doc_id"], taken == r["size"])] * (taken > 0)
+    got = corpus_pipeline.run(spark, SMALL).orderBy("place").collect()
+    assert [r["doc_id"] for r in got] == [i for _, i, _ in sorted(passes)]
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.piece_model())
+    for r, (_, i, whole) in zip(got, sorted(passes)):
+        assert not whole or r["ids"] == model.encode(texts[i])
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries_give_every_row(spark, name):
+    table = "pages" if name.startswith("op1_") else "documents"
+    assert registry.QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
