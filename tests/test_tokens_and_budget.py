@@ -65,3 +65,70 @@ def test_allocate(spark):
     assert run(both, 200, ceiling=0.9)["a"]["allocated"] > run(both, 200, ceiling=0.05)["a"]["allocated"]
     with pytest.raises(ValueError):
         allocate(items(spark, both), 0)
+
+
+def plain_fold(rows, budget, ceiling=0.25, least=1, trimmable=True):
+    """The allocation of one request, row by row."""
+    from winnow_spark.operators.budget import truncate
+
+    rows, left, out = sorted(rows, key=lambda r: (-(r[4] or 0.0), r[0])), float(budget), {}
+    for k, (place, _, text, tokens, _) in enumerate(rows):
+        has_text = trimmable and text is not None
+        allowance = max(least, min(left - (left * (1 - ceiling) if k < len(rows) - 1 and has_text else 0), tokens))
+        if left < least:
+            out[place] = ("dropped", None, None, "out of budget")
+        elif tokens <= allowance:
+            out[place], left = ("kept", tokens, text, None), left - tokens
+        elif has_text:
+            cut = truncate(text, min(allowance, left))
+            out[place], left = ("truncated", float(estimate(cut)), cut, None), left - estimate(cut)
+        else:
+            out[place] = ("dropped", None, None, "does not fit and is not truncatable")
+    return out
+
+
+@pytest.mark.parametrize("seed,budget,most", [(1, 60, 3), (2, 400, 20), (3, 3000, 50)])
+def test_allocate_in_portions(spark, monkeypatch, seed, budget, most):
+    """Few rows folded at a time, by several requests: as one fold of all rows. Ties, no text, no tokens, no priority."""
+    import random
+
+    from winnow_spark.operators import budget as module
+
+    monkeypatch.setattr(module, "FOLD_ROWS", most)
+    draw, rows = random.Random(seed), []
+    for k in range(120):
+        text = None if draw.random() < 0.1 else "\n".join("word " * draw.randrange(1, 9) for _ in range(draw.randrange(0, 9)))
+        tokens = float(estimate(text)) if text is not None else float(draw.randrange(0, 30))
+        rows.append((k, str(k), text, tokens, draw.choice([None, 0.0, 1.0, 2.5])))
+    got = {r["ord"]: (r["status"], r["allocated"], r["out_text"], r["reason"]) for r in allocate(items(spark, rows), budget).collect()}
+    assert got == plain_fold(rows, budget)
+    grouped = items(spark, rows).withColumn("req", F.col("ord") % 3)
+    got = {r["ord"]: (r["status"], r["allocated"], r["out_text"], r["reason"]) for r in allocate(grouped, budget, group="req").collect()}
+    assert got == {k: v for g in range(3) for k, v in plain_fold([r for r in rows if r[0] % 3 == g], budget).items()}
+    assert allocate(items(spark, rows).where("false"), budget).count() == 0
+
+
+def test_allocate_documents(spark):
+    from winnow_spark.operators.budget import allocate_documents
+
+    docs = spark.createDataFrame([(0, "a", "x" * 40, "en"), (1, "b", None, "de")], "ord long, id string, text string, lang string")
+    got = {r["id"]: r for r in allocate_documents(docs, 100).collect()}
+    assert (got["a"]["tokens"], got["a"]["status"], got["a"]["lang"], got["b"]["tokens"], got["b"]["lang"]) == (10.0, "kept", "en", 0.0, "de")
+    given = allocate_documents(docs.drop("lang").withColumn("tokens", F.lit(5.0)), 100, counter=lambda c: F.length(c) * 2)
+    assert {r["tokens"] for r in given.collect()} == {5.0}
+
+
+def test_split_shares_are_even(spark):
+    """The rest goes to those least short, in their order, over many parts."""
+    rows = [(k, str(k), None, float(10 + k % 7), 0.0) for k in range(50)]
+    shares = {r["ord"]: r["share"] for r in split_budget(items(spark, rows), 520).collect()}
+    short = sorted((t - 10, k) for k, _, _, t, _ in rows if t > 10)[:20]
+    assert shares == {k: 10 + ((t - 10, k) in short) for k, _, _, t, _ in rows}
+
+
+def test_counters(spark):
+    from winnow_spark.functions.tokens import counter_kind, is_reliable_estimate
+
+    words = lambda c: F.regexp_count(c, F.lit(r"\w+"))
+    row = spark.range(1).select(count_tokens(F.lit("one two"), words).alias("n"), is_reliable_estimate(F.lit("")).alias("empty"), is_reliable_estimate(F.lit("x")).alias("some"), F.size(chunk_to_tokens(F.lit("a b\nc d\ne"), 2, words)).alias("chunks")).first()
+    assert tuple(row) == (2, False, True, 3) and (counter_kind(words), counter_kind()) == ("exact", "estimated")

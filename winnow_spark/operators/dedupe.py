@@ -89,27 +89,49 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a["high"].bitwiseXOR(b["high"])) + F.bit_count(a["low"].bitwiseXOR(b["low"]))
 
 
+def _met_by_shingles(sets: DataFrame, distance: int, overlap: float) -> DataFrame:
+    """(a, b, distance) of sets that share a shingle of both prefixes, by hash order, and pass the cheap tests on the spot."""
+    keep = (F.size("set") - F.ceil(F.size("set") * F.lit(overlap) - 1e-9) + 1).cast("int")
+    posted = sets.where(F.size("set") > 0).select("ord", "print", F.size("set").alias("n"), F.posexplode(F.slice("set", F.lit(1), keep)).alias("place", "shingle"))
+    one, other = posted.alias("x"), posted.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    possible = F.least("x.place", "y.place") + 1 + F.least(n - F.col("x.place"), m - F.col("y.place")) - 1  # shared at most
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.ord") < F.col("y.ord"))
+    on &= (F.least(n, m) >= F.greatest(n, m) * overlap - 1e-9) & (possible >= overlap * (n + m - possible) - 1e-9)
+    apart = hamming(F.col("x.print"), F.col("y.print"))
+    return one.join(other, on & (apart <= distance)).select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), apart.alias("distance")).distinct()
+
+
+def _met_by_bands(sets: DataFrame, distance: int) -> DataFrame:
+    """(a, b, distance) of all prints within ``distance``: of so many bands and one more, one must be equal. For overlaps of 0."""
+    if distance >= 63:
+        raise ValueError("with an overlap of 0, a distance below 63 is needed")
+    bits = F.concat(F.lpad(F.bin("print.high"), 32, "0"), F.lpad(F.bin("print.low"), 32, "0"))
+    edges = [64 * k // (distance + 1) for k in range(distance + 2)]
+    bands = F.array(*[F.concat(F.lit(f"{k}:"), F.substring(bits, at + 1, to - at)) for k, (at, to) in enumerate(zip(edges, edges[1:]))])
+    posted = sets.select("ord", "print", F.explode(bands).alias("band"))
+    one, other = posted.alias("x"), posted.alias("y")
+    apart = hamming(F.col("x.print"), F.col("y.print"))
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.ord") < F.col("y.ord")) & (apart <= distance)
+    return one.join(other, on).select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), apart.alias("distance")).distinct()
+
+
 def near_pairs(heads: DataFrame, distance: int = DISTANCE, overlap: float = OVERLAP) -> DataFrame:
-    """(a, b, distance), a < b: heads (ord, text) that are near each other, by a join on shingles.
+    """(a, b, distance), a < b: heads (ord, text) that are near each other.
 
-    Only shingles in a set's prefix by hash order are joined, so pairs meet on
-    few of them; an overlap of 0 would need all pairs and is refused.
+    Candidates share a shingle of both prefixes (or, for an overlap of 0, a band
+    of their SimHashes), and pass length, position and distance before they
+    leave the join; only these are compared as whole sets.
     """
-    if overlap <= 0:
-        raise ValueError("near duplicates need an overlap above 0")
     sets = heads.select("ord", simhash(F.col("text")).alias("print"), F.array_sort(F.transform(F.array_distinct(shingles(hash_words(F.col("text")))), lambda s: F.xxhash64(s))).alias("set"))
     sets = cut_lineage(sets)
-    keep = (F.size("set") - F.ceil(F.size("set") * F.lit(overlap) - 1e-9) + 1).cast("int")
-    posted = sets.where(F.size("set") > 0).select("ord", F.size("set").alias("n"), F.explode(F.slice("set", F.lit(1), keep)).alias("shingle"))
-    other = posted.select(F.col("ord").alias("b"), F.col("n").alias("nb"), "shingle")
-    met = posted.join(other, "shingle").where((F.col("ord") < F.col("b")) & (F.least("n", "nb") >= F.greatest("n", "nb") * overlap - 1e-9))
-    met = met.select(F.col("ord").alias("a"), "b").distinct()
-    of = lambda end: sets.select(F.col("ord").alias(end), F.col("print").alias(f"{end}_print"), F.col("set").alias(f"{end}_set"))
+    if overlap <= 0:
+        return _met_by_bands(sets.select("ord", "print"), distance)
+    met = cut_lineage(_met_by_shingles(sets, distance, overlap))
+    of = lambda end: sets.select(F.col("ord").alias(end), F.col("set").alias(f"{end}_set"))
     both = met.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    jaccard = shared / (F.size("a_set") + F.size("b_set") - shared)
-    both = both.withColumn("distance", hamming(F.col("a_print"), F.col("b_print")))
-    return both.where((jaccard >= overlap) & (F.col("distance") <= distance)).select("a", "b", "distance")
+    return both.where(shared / (F.size("a_set") + F.size("b_set") - shared) >= overlap).select("a", "b", "distance")
 
 
 def find_duplicates(docs: DataFrame, distance: int = DISTANCE, overlap: float = OVERLAP) -> DataFrame:

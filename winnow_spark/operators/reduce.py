@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow_spark.functions.tokens import count_tokens, counter_kind
+from winnow_spark.functions.tokens import MARKER, Counter, count_tokens, counter_kind
 from winnow_spark.operators.budget import allocate, resolve_budget
 from winnow_spark.operators.dedupe import find_duplicates
 from winnow_spark.operators.relevance import select_by_relevance
 from winnow_spark.operators.secrets import redact, secret_findings
 from winnow_spark.operators.skeleton import skeletonize
 from winnow_spark.session import cut_lineage
+from winnow_spark.sources.files import collect_files, text_rows
 
 # Endings of source files.
 CODE = r"(?i)\.(?:mjs|cjs|js|jsx|ts|tsx|py|rb|go|rs|java|kt|kts|swift|c|h|cc|cpp|hpp|cs|php|scala|sh|bash|zsh|sql|vue|svelte)$"
@@ -27,11 +29,20 @@ class Reduced:
     dropped: DataFrame
     findings: DataFrame
 
+    def context(self) -> DataFrame:
+        """One row with the whole ``context``: items joined by a blank line. It is about as long as the budget, so one row holds it."""
+        blocks = self.items.agg(F.array_sort(F.collect_list(F.struct("status", "ord", "rendered"))).alias("blocks"))
+        return blocks.select(F.array_join(F.transform("blocks", lambda b: b["rendered"]), "\n\n").alias("context"))
 
-def reduce_context(docs: DataFrame, budget: object = None, query: str | None = None, skeletons: bool = True, code: bool | None = None, min_tokens: float = 1, ceiling: float = 0.25, compat_relevance_noop: bool = False) -> Reduced:
-    """Reduce docs (ord, id, text, optional priority) to ``budget`` tokens."""
+
+def reduce_context(docs: DataFrame, budget: object = None, query: str | None = None, skeletons: bool = True, code: bool | None = None, min_tokens: float = 1, ceiling: float = 0.25, compat_relevance_noop: bool = False, counter: Counter | None = None) -> Reduced:
+    """Reduce docs (ord, id, text, optional priority) to ``budget`` tokens.
+
+    ``ord`` is any type that orders the documents. Tokens are counted by
+    ``counter`` where there is one; truncated texts are measured by the estimate.
+    """
     limit = resolve_budget(budget)
-    tokens = lambda c: F.coalesce(count_tokens(F.col(c)), F.lit(0))
+    tokens = lambda c: F.coalesce(count_tokens(F.col(c), counter), F.lit(0))
     base = docs if "priority" in docs.columns else docs.withColumn("priority", F.lit(0.0))
     base = base.select("ord", F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("raw"), "priority")
     redacted = cut_lineage(base.select("ord", "id", "priority", tokens("raw").alias("t0"), redact(F.col("raw")).alias("text")))
@@ -48,7 +59,7 @@ def reduce_context(docs: DataFrame, budget: object = None, query: str | None = N
         kept = kept.select("ord", "id", "priority", "t1", F.lit("full").alias("mode"), "text")
     kept = cut_lineage(kept.withColumn("t2", tokens("text")))
     if query and not compat_relevance_noop:
-        picked = select_by_relevance(kept.select(F.col("ord").alias("id"), "text"), query, max_tokens=int(max(min_tokens, limit // 2)))
+        picked = select_by_relevance(kept.select(F.col("ord").alias("id"), "text"), query, max_tokens=int(max(min_tokens, limit // 2)), counter=counter)
         picked = picked.select(F.col("id").alias("ord"), "excerpt", F.size("selected").alias("selected"))
         kept = cut_lineage(kept.join(picked, "ord").withColumn("text", F.when(F.col("excerpt") == "", F.col("text")).otherwise(F.col("excerpt"))).drop("excerpt"))
     else:
@@ -57,8 +68,9 @@ def reduce_context(docs: DataFrame, budget: object = None, query: str | None = N
     fitted = cut_lineage(allocate(kept, limit, ceiling=ceiling, min_tokens=min_tokens))
     items = fitted.join(kept.select("ord", "mode", "selected"), "ord")
     header = F.when(F.col("mode") == "declarations", F.concat("id", F.lit(" (declarations only)"))).otherwise(F.col("id"))
-    marker = F.when(F.col("status") == "truncated", "\n… [truncated]").otherwise("")
-    items = items.withColumn("rendered", F.concat(header, F.lit("\n"), "out_text", marker)).orderBy("status", "ord")
+    marker = F.when(F.col("status") == "truncated", MARKER).otherwise("")
+    # What is in the context: kept items, then truncated ones.
+    items = items.where("status <> 'dropped'").withColumn("rendered", F.concat(header, F.lit("\n"), "out_text", marker)).orderBy("status", "ord")
 
     count = lambda df, *sums: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(a) for c, a in sums])
     one = count(redacted, ("t0", "t0"), ("t1", "t1")).crossJoin(count(kept, ("t1", "t1k"), ("t2", "t2"), ("tokens", "t3"), ("selected", "selected")))
@@ -75,7 +87,17 @@ def reduce_context(docs: DataFrame, budget: object = None, query: str | None = N
         row(5, "budget", c("t3"), c("spent"), c("t3") - c("spent"), F.lit(True)),
     ]
     trace = one.select(F.explode(F.array(*stages)).alias("s")).select("s.*").where("on").drop("on").orderBy("place").drop("place")
-    totals = one.select(c("t0").alias("tokens_in"), c("spent").alias("tokens_out"), (c("t0") - c("spent")).alias("saved"), F.when(c("t0") > 0, 1 - c("spent") / c("t0")).otherwise(0.0).alias("reduction"), F.lit(counter_kind()).alias("counter"), F.lit(float(limit)).alias("budget"), (c("spent") / float(limit)).alias("utilization"))
+    totals = one.select(c("t0").alias("tokens_in"), c("spent").alias("tokens_out"), (c("t0") - c("spent")).alias("saved"), F.when(c("t0") > 0, 1 - c("spent") / c("t0")).otherwise(0.0).alias("reduction"), F.lit(counter_kind(counter)).alias("counter"), F.lit(float(limit)).alias("budget"), (c("spent") / float(limit)).alias("utilization"))
     repeats = verdicts.where("verdict <> 'kept'").select("id", F.format_string("duplicate (%s) of %s", "verdict", F.coalesce("duplicate_of", F.lit("null"))).alias("reason"))
     dropped = repeats.unionByName(fitted.where("status = 'dropped'").select("id", "reason"))
     return Reduced(items, trace, totals, dropped, findings)
+
+
+def reduce_text(spark: SparkSession, text: str, id: str = "input", **options: object) -> Reduced:
+    """:func:`reduce_context` of one text."""
+    return reduce_context(text_rows(spark, [text], [id]), **options)
+
+
+def optimize(spark: SparkSession, paths: Iterable[str] = (".",), budget: object = None, query: str | None = None, max_files: int | None = None) -> Reduced:
+    """:func:`reduce_context` of the files and folders at ``paths``; without files, all results are empty or zero."""
+    return reduce_context(cut_lineage(collect_files(spark, paths, max_files)), budget, query)

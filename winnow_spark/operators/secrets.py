@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import sha256
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,31 +26,56 @@ RULES = (
 )
 
 
+#: Texts without any of these hold nothing that a rule finds (the words in any case).
+ANCHORS = ("PRIVATE KEY-----", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "k_live_", "k_test_", "AIza", "eyJ")
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+CREDENTIALS = r"://[^\s:/@]+:[^\s@/]+@"
+
+
+def may_hold_secrets(text: Column) -> Column:
+    """A quick test that no text with a finding fails."""
+    lower = F.lower(text)
+    tests = [text.contains(a) for a in ANCHORS] + [lower.contains(w) for w in WORDS] + [text.contains("://") & text.rlike(CREDENTIALS)]
+    any_of = tests[0]
+    for test in tests[1:]:
+        any_of = any_of | test
+    return F.coalesce(any_of, F.lit(False))
+
+
 def redact(text: Column) -> Column:
+    """``text`` with placeholders for secrets; the rules run only on texts that may hold some."""
+    changed = text
     for _, pattern, replacement in RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        changed = F.regexp_replace(changed, pattern, replacement)
+    return F.when(may_hold_secrets(text), changed).otherwise(text)
 
 
-def _hits(name: str, pattern: str):
-    """A function of (line, index) that lists a rule's hits in the line."""
-    return lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(name).alias("rule"), (i + 1).alias("line"), v.alias("value")))
+_compiled = [(name, re.compile(pattern, re.ASCII), replacement.replace("$1", r"\1")) for name, pattern, replacement in RULES]
+
+
+def text_findings(text: str) -> list[tuple[str, int, str]]:
+    """(rule, line, fingerprint) of one text, rule by rule, each on what the rules before it left; line ends stay in place."""
+    found = []
+    for name, pattern, replacement in _compiled:
+        hits = list(pattern.finditer(text))
+        for hit in hits:
+            found.append((name, text.count("\n", 0, hit.start()) + 1, sha256(hit[0].encode("utf-8", "surrogatepass")).hexdigest()[:8]))
+        if hits:
+            text = pattern.sub(lambda m, put=replacement: m.expand(put) + "\n" * (m[0].count("\n") - m.expand(put).count("\n")), text)
+    return found
 
 
 def secret_findings(docs: DataFrame) -> DataFrame:
     """id, rule, line (from 1, in the raw text), fingerprint (8 hex digits of a one-way hash), never the value.
 
-    Each rule looks at the text that the rules before it have redacted, with
-    line ends kept, so nothing is found twice.
+    Each rule looks at the whole text that the rules before it have redacted, so
+    nothing is found twice. The hash is of what the rule found: of a key block,
+    the whole block. Only texts that may hold secrets leave the JVM.
     """
-    text, found = F.coalesce("text", F.lit("")), []
-    for name, pattern, replacement in RULES:
-        if name == "private_key":
-            starts = F.split(text, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?=[\s\S]*?-----END)")
-            lines = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda p, i: F.struct(F.lit(name).alias("rule"), F.size(F.split(F.array_join(F.slice(starts, F.lit(1), i + 1), ""), "\n")).alias("line"), F.concat(F.lit(name), i.cast("string")).alias("value")))
-        else:
-            lines = F.flatten(F.transform(F.split(text, "\n"), _hits(name, pattern)))
-            text = F.regexp_replace(text, pattern, replacement)
-        found.append(lines)
-    hits = docs.select("id", F.explode(F.concat(*found)).alias("hit"))
-    return hits.select("id", "hit.rule", F.col("hit.line").cast("int").alias("line"), F.substring(F.sha2(F.col("hit.value"), 256), 1, 8).alias("fingerprint"))
+
+    @F.pandas_udf("array<struct<rule:string,line:int,fingerprint:string>>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("rule", "line", "fingerprint"), hit)) for hit in text_findings(t)] for t in texts], dtype=object)
+
+    hits = docs.where(may_hold_secrets(F.col("text"))).select("id", F.explode(listed("text")).alias("hit"))
+    return hits.select("id", "hit.rule", "hit.line", "hit.fingerprint")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow_spark.functions.tokens import estimate_tokens
 from winnow_spark.operators import budget, configs, dedupe, reduce, relevance, secrets, skeleton
+from winnow_spark.plans.token_queries import sql_estimate
 from winnow_spark.session import read_table
 
 QUERY = "licensed under the apache license, version and the public terms"
@@ -25,7 +26,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.find_duplicates(_docs(spark, sf_dir)).select("id", "verdict", "duplicate_of", "distance")
+    return dedupe.find_duplicates(_docs(spark, sf_dir)).select("id", "verdict", "duplicate_of", F.col("distance").cast("double").alias("distance"))
 
 
 def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +95,38 @@ _FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
-_SQL_NORM = r"regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')"
+_SQL_NORM = r"regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in relevance.STOPWORDS)
+_TERM_LIST = SQL_TERMS.replace("(", "").replace(")", "")
+_STEMMED = """CASE WHEN length(w) > 4 AND ends_with(w, 'ing') THEN left(w, -3)
+                   WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END"""
+#: Windows of five words by document, as ``made`` (doc_id, s), and the SimHashes as ``prints``.
+_SHINGLES = """
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END AS s
+  FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2) AS w FROM documents)"""
+
+
+def _vote(column: str) -> str:
+    return " + ".join(f"(CASE WHEN sum((({column} >> {b}) & 1) * 2 - 1) > 0 THEN {1 << b} ELSE 0 END)" for b in range(32))
+
+
+_PRINTS = f"""made AS ({_SHINGLES}),
+each AS (SELECT doc_id, unnest(s) AS s FROM made),
+kinds AS (
+  SELECT s, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS low,
+         list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(s) + 1), lambda i: 0::BIGINT)), lambda h, c: (h * 16777619) & 4294967295) AS high
+  FROM (SELECT DISTINCT s FROM each)),
+prints AS (SELECT doc_id, ({_vote("high")})::BIGINT AS high, ({_vote("low")})::BIGINT AS low FROM each JOIN kinds USING (s) GROUP BY doc_id)"""
+#: The assignment rule without its look-ahead, which comes as a test of its own; the tables hold no other secrets.
+_ASSIGNED = r"""(?i)\b([A-Za-z0-9_]*(?:password|passwd|secret|token|api_?key)[A-Za-z0-9_]*["'']?\s*[:=]\s*["'']?)([^\s"'',;]{6,})"""
 ORACLES = {
     "exact_duplicates": f"""
 WITH docs AS (SELECT doc_id, sha256({_SQL_NORM}) AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS first_id, count(*) OVER (PARTITION BY norm) AS copies,
        doc_id <> min(doc_id) OVER (PARTITION BY norm) AS duplicate FROM docs""",
-    "shingle_counts": """
-WITH docs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2) AS w FROM documents),
-made AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END AS s FROM docs)
+    "shingle_counts": f"""
+WITH made AS ({_SHINGLES})
 SELECT doc_id, len(s)::BIGINT AS n_shingles, len(list_distinct(s))::BIGINT AS n_distinct FROM made""",
     "bm25_lines": f"""
 WITH lines AS (
@@ -112,8 +134,7 @@ WITH lines AS (
   FROM documents),
 terms AS (
   SELECT id, line_no, list_transform(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9_]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})),
-    lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 'ing') THEN left(w, -3)
-                   WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END) AS ts FROM lines),
+    lambda w: {_STEMMED}) AS ts FROM lines),
 stats AS (SELECT id, count(*) AS n, coalesce(nullif(avg(len(ts)), 0), 1) AS mean FROM terms GROUP BY id),
 tf AS (SELECT id, line_no, q.term, len(list_filter(ts, lambda w: w = q.term)) AS f, len(ts) AS len FROM terms, (VALUES {SQL_TERMS}) q(term)),
 df AS (SELECT id, term, count(*) FILTER (f > 0) AS d FROM tf GROUP BY ALL),
@@ -134,4 +155,80 @@ even AS (SELECT *, greatest(1, floor(64000.0 / count(*) OVER ()))::BIGINT AS per
 short AS (SELECT *, CASE WHEN tokens > per THEN tokens - per END AS need FROM even)
 SELECT ord, tokens, per + CASE WHEN need IS NOT NULL AND row_number() OVER (ORDER BY need NULLS LAST, ord) <= 64000 - per * n THEN 1 ELSE 0 END AS share
 FROM short""".replace("\\\\", "\\"),
+    "conversation_budgets": f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, text, {sql_estimate("text")}::DOUBLE AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS place, 400.0::DOUBLE AS rest, NULL::BIGINT AS turn, NULL::DOUBLE AS tokens, NULL::VARCHAR AS status, NULL::DOUBLE AS allocated, NULL::VARCHAR AS reason
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, place, rest - coalesce(allocated, 0), turn, tokens, status, allocated, CASE WHEN status = 'dropped' THEN CASE WHEN rest < 1 THEN 'out of budget' ELSE 'does not fit and is not truncatable' END END
+  FROM (
+    SELECT *, CASE WHEN status = 'kept' THEN tokens WHEN status = 'truncated' THEN {sql_estimate("cut")} END AS allocated
+    FROM (
+      SELECT *, CASE WHEN rest < 1 THEN 'dropped' WHEN tokens <= allowance THEN 'kept' WHEN text IS NULL THEN 'dropped' ELSE 'truncated' END AS status,
+             CASE WHEN from_end > 0 AND length(raw) - from_end >= floor(target * 0.8::DOUBLE) THEN substr(raw, 1, length(raw) - from_end + 1) ELSE raw END || chr(10) || '… [truncated]' AS cut
+      FROM (
+        SELECT *, substr(text, 1, target) AS raw, instr(reverse(substr(text, 1, target)), chr(10)) AS from_end
+        FROM (
+          SELECT *, greatest(1, greatest(1, floor(least(allowance, rest) * 4)) - 20)::BIGINT AS target
+          FROM (
+            SELECT t.*, s.rest, greatest(1.0::DOUBLE, least(s.rest - CASE WHEN t.place < t.n AND t.text IS NOT NULL THEN s.rest * 0.75::DOUBLE ELSE 0 END, t.tokens)) AS allowance
+            FROM steps s JOIN turns t ON s.conv_id = t.conv_id AND t.place = s.place + 1))))))
+SELECT conv_id, turn, tokens, status, allocated::DOUBLE AS allocated, reason FROM steps WHERE place > 0""",
+    "near_duplicates": f"""
+WITH RECURSIVE {_PRINTS},
+norms AS (SELECT doc_id, {_SQL_NORM} AS norm FROM documents),
+heads AS (SELECT norm, min(doc_id) AS head FROM norms WHERE norm <> '' GROUP BY norm),
+sets AS (SELECT doc_id, list_distinct(s) AS s FROM made WHERE doc_id IN (SELECT head FROM heads)),
+postings AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM postings a JOIN postings b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+edges AS (
+  SELECT a, b, (bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)))::INT AS distance
+  FROM shared JOIN prints x ON x.doc_id = a JOIN prints y ON y.doc_id = b
+  WHERE k / (na + nb - k) >= 0.8::DOUBLE AND bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)) <= 12),
+later AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM edges GROUP BY b),
+decided AS (
+  SELECT 0::BIGINT AS i, []::BIGINT[] AS dropped
+  UNION ALL
+  SELECT l.i, CASE WHEN len(list_filter(l.before, lambda x: NOT list_contains(d.dropped, x))) > 0 THEN list_append(d.dropped, l.b) ELSE d.dropped END
+  FROM decided d JOIN later l ON l.i = d.i + 1),
+gone AS (SELECT unnest(arg_max(dropped, i)) AS doc_id FROM decided),
+near AS (SELECT b, min(a) AS a, arg_min(distance, a) AS distance FROM edges WHERE b IN (SELECT doc_id FROM gone) AND a NOT IN (SELECT doc_id FROM gone) GROUP BY b)
+SELECT CAST(n.doc_id AS VARCHAR) AS id, CASE WHEN n.norm = '' THEN 'empty' WHEN near.b IS NOT NULL THEN 'near' WHEN n.doc_id = head THEN 'kept' ELSE 'exact' END AS verdict,
+       CAST(CASE WHEN near.b IS NOT NULL THEN near.a WHEN n.doc_id <> head THEN head END AS VARCHAR) AS duplicate_of,
+       CASE WHEN near.b IS NOT NULL THEN near.distance WHEN n.doc_id <> head THEN 0 END::DOUBLE AS distance
+FROM norms n LEFT JOIN heads USING (norm) LEFT JOIN near ON near.b = head""",
+    "secret_findings": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+hits AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{_ASSIGNED}')) AS hit FROM lines)
+SELECT CAST(doc_id AS VARCHAR) AS id, 'assignment' AS rule, line_no::INT AS line, left(sha256(hit), 8) AS fingerprint FROM hits
+WHERE NOT regexp_matches(hit, '(?i)[:=]\\s*["'']?(\\[REDACTED|\\$|process\\.|os\\.|env\\b|your|example|changeme|<)')""",
+    "redacted_documents": f"""
+WITH made AS (SELECT doc_id, text AS raw, regexp_replace(text, '{_ASSIGNED}', '\\1[REDACTED]', 'g') AS redacted FROM documents)
+SELECT doc_id, redacted, {sql_estimate("redacted")} AS tokens FROM made WHERE raw <> redacted""",
+    "event_property_paths": """
+SELECT path, count(*) AS n, count(DISTINCT value) AS n_values
+FROM (SELECT j.key AS path, j.value AS value FROM events, json_each(props) j) GROUP BY path""",
+    "simhashes": f"WITH {_PRINTS}\nSELECT d.doc_id, coalesce(high, 0) AS high, coalesce(low, 0) AS low FROM documents d LEFT JOIN prints USING (doc_id)",
+    "relevance_excerpts": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no
+  FROM documents),
+terms AS (
+  SELECT *, list_has_any(list_transform(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9_]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})),
+    lambda w: {_STEMMED}), [{_TERM_LIST}]) AS hit FROM lines),
+near AS (SELECT *, hit OR coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS chosen, count(*) OVER (PARTITION BY doc_id) AS n FROM terms WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+gaps AS (SELECT *, lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM near WHERE chosen),
+made AS (
+  SELECT doc_id, (CASE WHEN min(line_no) > 0 THEN '…' || chr(10) ELSE '' END)
+         || string_agg(CASE WHEN before IS NOT NULL AND line_no > before + 1 THEN ' … ' || chr(10) ELSE '' END || line, chr(10) ORDER BY line_no)
+         || (CASE WHEN max(line_no) < any_value(n) - 1 THEN chr(10) || '…' ELSE '' END) AS excerpt, count(*) AS n_selected, any_value(n) AS n
+  FROM gaps GROUP BY doc_id),
+sized AS (SELECT *, {sql_estimate("excerpt")} > 400 AS over FROM made)
+SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN s.doc_id IS NULL THEN d.text WHEN over THEN '' ELSE excerpt END AS excerpt,
+       coalesce(n_selected, 0)::INT AS n_selected, coalesce(over OR n_selected < n, false) AS truncated
+FROM documents d LEFT JOIN sized s USING (doc_id)""",
 }

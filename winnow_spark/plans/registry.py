@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from winnow_spark.plans import reduction_queries, token_queries
+from winnow_spark.plans import reduction_queries, report_queries, token_queries
 
-MODULES = (token_queries, reduction_queries)
+MODULES = (token_queries, reduction_queries, report_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from winnow_spark.functions.tokens import chunk_to_tokens, estimate_tokens, truncate_to_tokens, was_truncated
 from winnow_spark.session import read_table
 
-#: The estimate in DuckDB's SQL, over a column ``text``.
-SQL_ESTIMATE = r"""CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0::DOUBLE
-  + len(regexp_extract_all(text, '[^A-Za-z0-9_\s]')) * 0.25::DOUBLE
-  - len(regexp_extract_all(text, '[ \t]{2,}')) * 0.1::DOUBLE)) END::BIGINT"""
+
+def sql_estimate(column: str = "text") -> str:
+    """The estimate of a column in DuckDB's SQL."""
+    return rf"""CASE WHEN coalesce(length({column}), 0) = 0 THEN 0 ELSE greatest(1, ceil(length({column}) / 4.0::DOUBLE
+  + len(regexp_extract_all({column}, '[^A-Za-z0-9_\s]')) * 0.25::DOUBLE
+  - len(regexp_extract_all({column}, '[ \t]{{2,}}')) * 0.1::DOUBLE)) END::BIGINT"""
+
+
+SQL_ESTIMATE = sql_estimate()
 
 
 def token_totals_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +54,15 @@ shortened AS (
          ELSE (CASE WHEN from_end > 0 AND keep - 1 >= 624 THEN substr(cut, 1, keep) ELSE cut END) || chr(10) || '… [truncated]' END AS text
   FROM marked)
 SELECT doc_id, truncated, text AS cut_text, {SQL_ESTIMATE} AS cut_tokens FROM shortened""",
+    "chunked_documents": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE coalesce(length(text), 0) > 0),
+steps AS (
+  SELECT doc_id, lines, 1 AS i, lines[1] AS held, 0 AS chunk_no, NULL::VARCHAR AS done FROM docs
+  UNION ALL
+  SELECT doc_id, lines, i + 1, CASE WHEN closes THEN lines[i + 1] ELSE joined END, chunk_no + closes::INT, CASE WHEN closes THEN held END
+  FROM (SELECT *, {sql_estimate("joined")} > 300 AS closes FROM (SELECT *, held || chr(10) || lines[i + 1] AS joined FROM steps WHERE i < len(lines)))),
+chunks AS (
+  SELECT doc_id, chunk_no - 1 AS chunk_no, done AS chunk FROM steps WHERE done IS NOT NULL
+  UNION ALL SELECT doc_id, chunk_no, held FROM steps WHERE i = len(lines))
+SELECT doc_id, chunk_no::BIGINT AS chunk_no, length(chunk)::BIGINT AS chunk_chars, {sql_estimate("chunk")} AS chunk_tokens FROM chunks""",
 }
