@@ -19,4 +19,4 @@ QUERIES = {
         mixing.op10_mixing,
     )
 }
-ORACLES = {"op1_url_filters": url_filters.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op1_url_filters": url_filters.ORACLE, "op4_ngram_jaccard": jaccard_join.ORACLE, "op7_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}

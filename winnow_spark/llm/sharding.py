@@ -12,8 +12,9 @@ and what meets in one place is one total per range, not rows.
 Defined results for odd input: a null text has size 1 and checksum 0, as an
 empty one; null ids come first; repeated rows are kept and each gets a slot of
 its own; an empty table gives an empty result; a text larger than a whole
-target lies in one shard and its neighbours may stay empty. Extra columns are
-not carried: join them on ``doc_id``.
+target lies in one shard and its neighbours may stay empty. Equal texts may
+part: the law is one of sizes. Extra columns are not carried: join them on
+``doc_id``.
 """
 
 from __future__ import annotations
@@ -67,3 +68,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(docs, SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+
+
+#: The checksum is added up byte by byte, from a table made by its rule.
+ORACLE = f"""
+WITH RECURSIVE bits AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h)::BIGINT, 2),
+    lambda i: ((instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i+1]) - 1)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM raw, steps),
+placed AS (
+  SELECT doc_id, size, text_crc32, sum(size) OVER w - size AS before, sum(size) OVER () AS whole, row_number() OVER w AS place
+  FROM sums WINDOW w AS (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, (((2 * before + size) * {SHARDS}) // (2 * whole))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM cut
+"""
