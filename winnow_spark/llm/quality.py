@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow_spark.llm.labelled import labelled_sample
+from winnow_spark.llm.workers import beside, give_back, quoted
 from winnow_spark.session import read_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -225,9 +226,9 @@ def judge_quality(df: DataFrame, trees: Trees, text: str = "text", least: float
             out["score"] = trees.score(np.array([f for _, f in found], float).reshape(-1, len(FEATURES)))
             out["kept"] = ~out["base_failed"].astype(bool) & (out["score"] >= least)
             yield out
+        give_back()
 
-    out = df.select(*[df[c] for c in df.columns if c not in names], run(df[text]).alias("__quality"))
-    return out.select(*[c for c in out.columns if c != "__quality"], *[f"__quality.{n}" for n in names])
+    return beside(df, run(F.col(quoted(text))), names)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
