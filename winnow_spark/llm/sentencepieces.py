@@ -7,10 +7,10 @@ characters" chunk can be segmented alone. Every distinct chunk of a worker goes
 through the library once; a text's ids are then joined back by position, and so
 is its decoded form. :class:`ChunkTable` refuses models for which this fails.
 
-The table of a worker is bounded (``MAX_CHUNKS`` entries and one portion of
-texts more; chunks over ``MAX_CHUNK_CHARS`` characters are not kept), is emptied
-when full, and outlives tasks in a reused Python worker. There is no
-shuffle: each text is read once where it lies.
+A task's table is bounded (``MAX_CHUNKS`` entries and one portion of texts
+more; chunks over ``MAX_CHUNK_CHARS`` characters are not kept), is emptied when
+full and goes with the task. Results leave a portion of texts at a time. There
+is no shuffle: each text is read once where it lies.
 
 Defined results for odd input: a null text is an empty one (no ids, empty
 string); U+2581 in a text decodes to a space, as in the library; repeated rows
@@ -29,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow_spark.llm.workers import beside, give_back, portions, quoted
 from winnow_spark.session import read_table
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
-MAX_CHUNKS, MAX_CHUNK_CHARS, PORTION_CHARS = 120_000, 200, 1_000_000
+MAX_CHUNKS, MAX_CHUNK_CHARS = 120_000, 200
 OUT = "ids array<int>, decoded string"
 TRIP = "n_tokens long, ids array<int>, round_trip boolean"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -61,18 +62,8 @@ class ChunkTable:
         return [(",".join(map(str, i)), " " + d) for i, d in zip(ids, decoded)]
 
     def parts(self, texts: Iterable[str | None]) -> Iterator[list[tuple[str, str]]]:
-        """The segments of each text, in order; new chunks go to the library a portion of texts at a time."""
-        portion: list[list[str]] = []
-        size = 0
-        for text in texts:
-            portion.append(CHUNK.findall(" " + text.replace(MARK, " ")) if text else [])
-            size += len(text or "")
-            if size > PORTION_CHARS:
-                yield from self._looked_up(portion)
-                portion, size = [], 0
-        yield from self._looked_up(portion)
-
-    def _looked_up(self, portion: list[list[str]]) -> Iterator[list[tuple[str, str]]]:
+        """The segments of each text of a portion, in order; its new chunks go to the library at once."""
+        portion = [CHUNK.findall(" " + text.replace(MARK, " ")) if text else [] for text in texts]
         if len(self.table) > MAX_CHUNKS:
             self.table.clear()
         table = self.table
@@ -100,27 +91,19 @@ class ChunkTable:
             yield ids.count(",") + 1 if parts else 0, sha256(ids.encode()).hexdigest(), sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
-def chunk_table(model_file: str) -> ChunkTable:
-    """This process's table of a model."""
-    if model_file not in _tables:
-        _tables[model_file] = ChunkTable(model_file)
-    return _tables[model_file]
-
-
 def _applied(df: DataFrame, text: str, model_file: str, schema: str, method: str) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        apply = getattr(chunk_table(model_file), method)
+        apply = getattr(ChunkTable(model_file), method)
         for texts in batches:
-            yield pd.DataFrame(list(apply(texts)), columns=names, dtype=object)
+            for portion in portions(texts):
+                yield pd.DataFrame(list(apply(portion)), columns=names, dtype=object)
+        del apply
+        give_back()
 
-    out = df.select(*[df[c] for c in df.columns if c not in names], run(df[text]).alias("__pieces"))
-    return out.select(*[c for c in out.columns if c != "__pieces"], *[f"__pieces.{n}" for n in names])
+    return beside(df, run(F.col(quoted(text))), names)
 
 
 def encode_decode(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
