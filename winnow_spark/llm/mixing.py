@@ -29,6 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnow_spark.llm.workers import quoted
 from winnow_spark.session import cut_lineage, read_table
 
 #: Weights and ramps repeat along the sources in code-point order.
@@ -77,8 +78,9 @@ def curriculum(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     the second takes. The positions are where the passes meet the document;
     ``hash`` (of the text) and ``twin`` (a number among alike rows) tell rows of one id apart.
     """
-    size = F.when(docs[text].isNull(), 0).otherwise(F.regexp_count(docs[text], F.lit(WORD))).cast("long")
-    slim = cut_lineage(docs.select(docs[id].alias("doc_id"), docs[source].alias("source"), size.alias("size"), F.md5(docs[id].cast("string").cast("binary")).alias("key"), F.xxhash64(docs[text]).alias("hash")))
+    own_id, own_text, own_source = (F.col(quoted(c)) for c in (id, text, source))
+    size = F.when(own_text.isNull(), 0).otherwise(F.regexp_count(own_text, F.lit(WORD))).cast("long")
+    slim = cut_lineage(docs.select(own_id.alias("doc_id"), own_source.alias("source"), size.alias("size"), F.md5(own_id.cast("string").cast("binary")).alias("key"), F.xxhash64(own_text).alias("hash")))
     rows = slim.count()
     digits = max(0, math.ceil(math.log(max(1, rows / SLICE_ROWS), 16)))
     slim = slim.withColumn("slice", F.substring("key", 1, digits) if digits else F.lit(""))
@@ -112,15 +114,20 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     the words taken, with what stands between them (and ``n_chars``, if there,
     is set anew). Documents of which nothing is taken, and so those without words, go.
     """
-    alike = Window.partitionBy("__id", "__hash", "__source").orderBy("__hash")
+    keys = ["__id", "__hash", "__source"]
     plan = curriculum(docs, id, text, source, share)
     twice = F.array(F.struct(F.col("first_taken").alias("words"), F.col("position").alias("at")), F.struct((F.col("taken") - F.col("first_taken")).alias("words"), F.col("again_position").alias("at")))
     plan = plan.select(F.col("doc_id").alias("__id"), F.coalesce("hash", F.lit(0)).alias("__hash"), F.coalesce("source", F.lit("\x00")).alias("__source"), "size", "taken", twice.alias("passes"))
-    plan = plan.withColumn("__twin", F.row_number().over(alike)).where("taken > 0")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id].alias("__id"), F.coalesce(F.xxhash64(docs[text]), F.lit(0)).alias("__hash"), F.coalesce(docs[source], F.lit("\x00")).alias("__source"))
-    rows = rows.withColumn("__twin", F.row_number().over(alike))
+    plan = cut_lineage(plan)
+    own_id, own_text, own_source = (F.col(quoted(c)) for c in (id, text, source))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__row"), own_id.alias("__id"), F.coalesce(F.xxhash64(own_text), F.lit(0)).alias("__hash"), F.coalesce(own_source, F.lit("\x00")).alias("__source"))
+    if plan.groupBy(*keys).count().where("count > 1").head(1):  # only then whole rows are shuffled for it
+        alike = Window.partitionBy(*keys).orderBy("__hash")
+        plan, rows = (df.withColumn("__twin", F.row_number().over(alike)) for df in (plan, rows))
+        keys.append("__twin")
+    plan = plan.where("taken > 0")
     on = rows["__id"].eqNullSafe(plan["__id"])
-    for key in ("__hash", "__source", "__twin"):
+    for key in keys[1:]:
         on &= rows[key] == plan[key]
     copies = rows.join(plan.hint("shuffle_hash"), on).select("__row", "size", rows["__id"], F.explode("passes").alias("pass")).where("pass.words > 0")
     copies = copies.repartitionByRange(F.col("pass.at"), F.col("__id")).sortWithinPartitions("pass.at", "__id")
