@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it gets and returns a
 DataFrame; :func:`run` writes it as Parquet to the shared checkpoint folder and
-reads it again as the next stage's ``docs``. All but the last return the
-columns of ``docs``.
+reads it again as the next stage's ``docs``; the folder before is deleted. All
+but the last return the columns of ``docs``.
+
+Defined results for odd input: documents without text have no toxic words and
+too few words for the quality rules, which drop them; rows of one id and text
+are kept once by the n-gram join, rows without an id all stay there; a null
+source is a source of its own; extra columns are carried, whatever their names,
+up to the last stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow_spark.llm import jaccard_join, mixing, quality, sentencepieces, toxicity
-from winnow_spark.session import read_table, use_checkpoint_dir
+from winnow_spark.session import read_table, release_shuffles, remove_folder, use_checkpoint_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,4 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{shared}/{number}")
         docs = spark.read.parquet(f"{shared}/{number}")
+        if number:
+            remove_folder(spark, f"{shared}/{number - 1}")
+        release_shuffles(spark)
     return docs
