@@ -114,6 +114,8 @@ def test_allocate_documents(spark):
     docs = spark.createDataFrame([(0, "a", "x" * 40, "en"), (1, "b", None, "de")], "ord long, id string, text string, lang string")
     got = {r["id"]: r for r in allocate_documents(docs, 100).collect()}
     assert (got["a"]["tokens"], got["a"]["status"], got["a"]["lang"], got["b"]["tokens"], got["b"]["lang"]) == (10.0, "kept", "en", 0.0, "de")
+    first = allocate_documents(docs.withColumn("text", F.lit("y" * 40)).withColumn("priority", F.col("ord").cast("double")), 10, ceiling=1.0)
+    assert {r["id"]: r["status"] for r in first.collect()} == {"b": "kept", "a": "dropped"}
     given = allocate_documents(docs.drop("lang").withColumn("tokens", F.lit(5.0)), 100, counter=lambda c: F.length(c) * 2)
     assert {r["tokens"] for r in given.collect()} == {5.0}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -68,7 +69,7 @@ def split_budget(items: DataFrame, budget: float, ceiling: float = CEILING) -> D
     return out.join(turns, "ord", "left").withColumn("share", F.col("share") + F.coalesce("extra", F.lit(0))).select(*out.columns)
 
 
-def _fold(budget: float, ceiling: float, min_tokens: float, trimmable: bool):
+def _fold(budget: float, ceiling: float, min_tokens: float, trimmable: bool, recount: Callable[[str], float]):
     """The greedy fold over a group's next rows, in order; a row's ``left`` is what remains after it."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +88,7 @@ def _fold(budget: float, ceiling: float, min_tokens: float, trimmable: bool):
             elif has_text:
                 limit = min(allowance, left)
                 cut = None if own <= limit else truncate(text, limit)
-                cost = float(own if cut is None else estimate(cut))
+                cost = float(recount(text if cut is None else cut))
                 if cost < min_tokens:
                     out.append(("dropped", None, None, "truncation too small to be useful", left))
                 else:
@@ -102,7 +103,7 @@ def _fold(budget: float, ceiling: float, min_tokens: float, trimmable: bool):
     return fold
 
 
-def allocate(items: DataFrame, budget: float, group: str | None = None, ceiling: float = CEILING, min_tokens: float = MIN_TOKENS, trimmable: bool = True) -> DataFrame:
+def allocate(items: DataFrame, budget: float, group: str | None = None, ceiling: float = CEILING, min_tokens: float = MIN_TOKENS, trimmable: bool = True, recount: Callable[[str], float] = estimate) -> DataFrame:
     """``items`` (ord, id, text, tokens, priority) with status, allocated, out_text and reason.
 
     A greedy fold in order of priority (then ``ord``): an item but the last may
@@ -110,7 +111,8 @@ def allocate(items: DataFrame, budget: float, group: str | None = None, ceiling:
     request), but ends when the budget is spent, so it takes the first
     ``FOLD_ROWS`` rows of each group at a time: a task that ranks them keeps no
     more than that of a group, only they meet their texts (as much of them as the
-    budget could hold), and all later rows are marked without a fold.
+    budget could hold), and all later rows are marked without a fold. What a
+    truncated text costs is counted by ``recount``.
     """
     if not (budget > 0 and math.isfinite(budget)):
         raise ValueError("a budget is finite and above 0")
@@ -127,7 +129,7 @@ def allocate(items: DataFrame, budget: float, group: str | None = None, ceiling:
         turn = F.row_number().over(Window.partitionBy("key").orderBy("at"))
         batch = waiting.withColumn("turn", turn).where(F.col("turn") <= FOLD_ROWS).join(lasts, "key").withColumn("is_last", F.col("at") == F.col("last"))
         batch = batch.drop("last").join(texts, ["key", "ord"])
-        now = batch.groupBy("key").applyInPandas(_fold(budget, ceiling, min_tokens, trimmable), schema).join(slim.select("key", "ord", "at"), ["key", "ord"])
+        now = batch.groupBy("key").applyInPandas(_fold(budget, ceiling, min_tokens, trimmable, recount), schema).join(slim.select("key", "ord", "at"), ["key", "ord"])
         parts.append(cut_lineage(now))
         ends = parts[-1].groupBy("key").agg(F.max("at").alias("upto"), F.min("left").alias("left"), F.count("*").alias("rows"), F.min(F.when(F.col("left") < min_tokens, F.col("at"))).alias("spent_at"))
         ends = ends.withColumn("going", (F.col("rows") >= FOLD_ROWS) & (F.col("left") >= min_tokens))
@@ -147,14 +149,21 @@ def allocate(items: DataFrame, budget: float, group: str | None = None, ceiling:
     return done.withColumnRenamed("key", group) if group else done.drop("key")
 
 
-def allocate_documents(docs: DataFrame, budget: float, counter: Counter | None = None, ceiling: float = CEILING, min_tokens: float = MIN_TOKENS) -> DataFrame:
-    """:func:`allocate` for docs (ord, id, text, optional tokens): tokens that are given win over counted ones; all have one priority.
+def quarter_characters(text: str) -> int:
+    return math.ceil(len(text) / CHARS_PER_TOKEN)
 
-    Other columns are carried. Without a counter, a token is a quarter of a character.
+
+def allocate_documents(docs: DataFrame, budget: float, counter: Counter | None = None, recount: Callable[[str], float] = quarter_characters, ceiling: float = CEILING, min_tokens: float = MIN_TOKENS) -> DataFrame:
+    """:func:`allocate` for docs (ord, id, text, optional tokens and priority): tokens that are given win over counted ones.
+
+    Other columns are carried. Without a counter, a token is a quarter of a
+    character; ``recount`` is the counter for what is truncated.
     """
-    counted = counter(F.col("text")) if counter else F.ceil(F.length("text") / 4)
+    counted = counter(F.col("text")) if counter else F.ceil(F.length("text") / CHARS_PER_TOKEN)
     counted = F.coalesce(counted, F.lit(0)).cast("double")
     tokens = F.coalesce(F.col("tokens").cast("double"), counted) if "tokens" in docs.columns else counted
-    items = cut_lineage(docs.withColumn("tokens", tokens).withColumn("priority", F.lit(0.0)))
+    priority = F.col("priority") if "priority" in docs.columns else F.lit(0.0)
+    items = cut_lineage(docs.withColumn("tokens", tokens).withColumn("priority", priority))
+    done = allocate(items.select("ord", "id", "text", "tokens", "priority"), budget, ceiling=ceiling, min_tokens=min_tokens, recount=recount)
     more = [c for c in docs.columns if c not in ("ord", "id", "text", "tokens", "priority")]
-    return allocate(items.select("ord", "id", "text", "tokens", "priority"), budget, ceiling=ceiling, min_tokens=min_tokens).join(items.select("ord", *more), "ord") if more else allocate(items, budget, ceiling=ceiling, min_tokens=min_tokens)
+    return done.join(items.select("ord", *more), "ord") if more else done

@@ -13,6 +13,8 @@ from winnow_spark.session import read_table
 QUERY = "licensed under the apache license, version and the public terms"
 #: What the query comes to: stop words removed, then stemmed.
 SQL_TERMS = "('licensed'), ('under'), ('apache'), ('license'), ('version'), ('public'), ('term')"
+#: The skeleton's tests of single lines.
+LINE_CLASSES = {"declarations": skeleton.DECLARATION, "always": skeleton.KEEP_ALWAYS, "noise": skeleton.NOISE, "comments": (skeleton.COMMENT,), "containers": (skeleton.CONTAINER,)}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,19 @@ def conversation_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.select("conv_id", F.col("ord").alias("turn"), "tokens", "status", "allocated", "reason")
 
 
+def document_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one request of 64,000 tokens of four characters."""
+    fitted = budget.allocate_documents(_docs(spark, sf_dir), 64_000)
+    return fitted.select("id", "tokens", "status", "allocated", "reason")
+
+
+def page_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each page the skeleton's tests take for declarations, lines kept always, noise, comments and containers."""
+    lines = read_table(spark, sf_dir, "pages").select("page_id", F.explode(F.split(F.regexp_replace("html", "([>;{}])", "$1\n"), "\n")).alias("line"))
+    is_kind = lambda patterns: F.rlike("line", F.lit("^(?:" + "|".join(patterns) + ")"))
+    return lines.groupBy("page_id").agg(F.count("*").alias("n_lines"), *[F.count(F.when(is_kind(p), 1)).alias(name) for name, p in LINE_CLASSES.items()])
+
+
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = read_table(spark, sf_dir, "documents").select("doc_id", "text", skeleton.skeletonize(F.col("text")).alias("s"))
     return made.select("doc_id", estimate_tokens(F.col("text")).alias("tokens"), estimate_tokens(F.col("s.text")).alias("skeleton_tokens"), "s.lines_kept", "s.lines_total", F.size("s.symbols").alias("n_symbols"))
@@ -82,7 +97,8 @@ def event_property_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reduce_context_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.reduce_context(_docs(spark, sf_dir), "large", QUERY).trace
+    trace = reduce.reduce_context(_docs(spark, sf_dir), "large", QUERY).trace
+    return trace.select(*[F.col(c).cast("double").alias(c) if c in ("removed", "selected", "findings") else c for c in trace.columns])
 
 
 def reduce_context_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +107,7 @@ def reduce_context_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     exact_duplicates, near_duplicates, simhashes, shingle_counts, secret_findings, redacted_documents, bm25_lines, relevance_excerpts,
-    split_budget, conversation_budgets, skeletons, event_property_paths, reduce_context_trace, reduce_context_totals,
+    split_budget, conversation_budgets, document_budgets, page_line_classes, skeletons, event_property_paths, reduce_context_trace, reduce_context_totals,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -232,3 +248,44 @@ SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN s.doc_id IS NULL THEN d.text W
        coalesce(n_selected, 0)::INT AS n_selected, coalesce(over OR n_selected < n, false) AS truncated
 FROM documents d LEFT JOIN sized s USING (doc_id)""",
 }
+
+
+def _one_request(budget: int, tokens: str, recount: str) -> str:
+    """CTEs ``turns`` and ``steps`` of a fold over all ``items`` (doc_id, text) in one request."""
+    step = ORACLES["conversation_budgets"].replace("400.0::DOUBLE AS rest", f"{budget}.0::DOUBLE AS rest").replace(sql_estimate("cut"), recount)
+    step = step[step.index("steps AS (") : step.rindex("SELECT conv_id, turn")]
+    return f"""turns AS (
+  SELECT 0 AS conv_id, doc_id AS turn, text, {tokens}::DOUBLE AS tokens, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM items),
+{step.rstrip()}"""
+
+
+def _reduction(excerpts: str) -> str:
+    """CTEs of a whole reduction to 64,000 tokens in one request: ``sums``, one row. The tables hold no source code, so nothing is cut to declarations."""
+    return f"""
+WITH RECURSIVE red AS (SELECT doc_id, regexp_replace(text, '{_ASSIGNED}', '\\1[REDACTED]', 'g') AS text FROM documents),
+verdicts AS ({ORACLES["near_duplicates"].replace("FROM documents", "FROM red")}),
+kept AS (SELECT red.* FROM red JOIN verdicts ON CAST(doc_id AS VARCHAR) = id WHERE verdict = 'kept'),
+picked AS ({excerpts}),
+items AS (SELECT doc_id, CASE WHEN excerpt = '' THEN text ELSE excerpt END AS text FROM kept JOIN picked ON CAST(doc_id AS VARCHAR) = picked.id),
+{_one_request(64000, sql_estimate(), sql_estimate("cut"))},
+sums AS (
+  SELECT (SELECT sum({sql_estimate()}) FROM documents)::DOUBLE AS t0, (SELECT sum({sql_estimate()}) FROM red)::DOUBLE AS t1, (SELECT sum({sql_estimate()}) FROM kept)::DOUBLE AS t2,
+         (SELECT sum(tokens) FROM turns)::DOUBLE AS t3, (SELECT sum(allocated) FROM steps)::DOUBLE AS spent, (SELECT count(*) FROM verdicts WHERE verdict <> 'kept')::DOUBLE AS removed,
+         (SELECT sum(n_selected) FROM picked)::DOUBLE AS selected, (SELECT count(*) FROM ({ORACLES["secret_findings"]}))::DOUBLE AS found)"""
+
+
+_QUARTERS = "ceil(length(coalesce({}, '')) / 4.0::DOUBLE)"
+ORACLES["document_budgets"] = f"""
+WITH RECURSIVE items AS (SELECT doc_id, text FROM documents),
+{_one_request(64000, _QUARTERS.format("text"), _QUARTERS.format("cut"))}
+SELECT CAST(turn AS VARCHAR) AS id, tokens, status, allocated::DOUBLE AS allocated, reason FROM steps WHERE place > 0"""
+ORACLES["page_line_classes"] = "SELECT page_id, count(*) AS n_lines, " + ", ".join(f"count(*) FILTER (regexp_matches(line, '^(?:{'|'.join(p)})')) AS {name}" for name, p in LINE_CLASSES.items()) + r"""
+FROM (SELECT page_id, unnest(string_split(regexp_replace(html, '([>;{}])', '\1' || chr(10), 'g'), chr(10))) AS line FROM pages) GROUP BY page_id"""
+_UNPICKED = "SELECT CAST(doc_id AS VARCHAR) AS id, text AS excerpt, 0 AS n_selected FROM kept"
+ORACLES["reduce_context_totals"] = f"""{_reduction(_UNPICKED)}
+SELECT t0 AS tokens_in, spent AS tokens_out, t0 - spent AS saved, CASE WHEN t0 > 0 THEN 1 - spent / t0 ELSE 0 END AS reduction, 'estimated' AS counter, 64000.0::DOUBLE AS budget, spent / 64000 AS utilization FROM sums"""
+ORACLES["reduce_context_trace"] = f"""{_reduction(ORACLES["relevance_excerpts"].replace("FROM documents", "FROM kept").replace("> 400 AS over", "> 32000 AS over"))}
+SELECT 'secrets' AS stage, t0 AS tokens_before, t1 AS tokens_after, 0.0::DOUBLE AS saved, NULL::DOUBLE AS removed, NULL::DOUBLE AS selected, found AS findings FROM sums WHERE t0 <> t1 OR found > 0
+UNION ALL SELECT 'dedupe', t1, t2, t1 - t2, removed, NULL, NULL FROM sums WHERE removed > 0
+UNION ALL SELECT 'relevance', t2, t3, t2 - t3, NULL, selected, NULL FROM sums
+UNION ALL SELECT 'budget', t3, spent, t3 - spent, NULL, NULL, NULL FROM sums"""

@@ -106,9 +106,21 @@ def profile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs.status(_profiles(spark, *PROFILES), owned).select("doc", "active", F.size("values").cast("long").alias("n_owned"))
 
 
+def array_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes from the profiles when one note and all of the cache's settings are removed."""
+    return configs.surgical_remove(_profiles(spark, "light", "deep", "strict"), ["tools.cache"], {"notes": lambda v: v == "a.md"})[1]
+
+
+def property_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value looked up in each event's properties, and whether these equal the same ones in another spelling."""
+    events = read_table(spark, sf_dir, "events")
+    respelled = F.concat(F.lit("{ /* same */ "), F.substring("props", F.lit(2), F.length("props") - 2), F.lit(", }"))
+    return events.select("event_id", configs.get_path(F.col("props"), "k").alias("k"), configs.deep_equal(F.col("props"), respelled).alias("same"), configs.deep_equal(F.col("props"), F.lit('{"k": 7}')).alias("is_seven"))
+
+
 _FUNCTIONS = (
     analyze_files, analyze_totals, analyze_issues, largest_documents, over_budget_totals, duplicate_tokens, benchmark_summary, reduce_code_trace, reduce_code_items,
-    profile_diff, profile_merge, profile_explain, profile_status,
+    profile_diff, profile_merge, profile_explain, profile_status, array_removals, property_values,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -141,6 +153,11 @@ SELECT 'duplicate', id, NULL, NULL, NULL, verdict, duplicate_of, distance FROM (
 SELECT 'mine' AS doc, coalesce(a.path, b.path) AS path, replace(a.value, ',', ', ') AS from_value, replace(b.value, ',', ', ') AS to_value,
        CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM {_leaves('mine')} a FULL JOIN {_merged('strict')} b ON a.path = b.path WHERE a.value IS DISTINCT FROM b.value OR a.path IS NULL OR b.path IS NULL""",
+    "property_values": "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k, true AS same, json_extract(props, '$.k')::VARCHAR = '7' AS is_seven FROM events",
+    "array_removals": "WITH leaf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS doc, path, value FROM {_leaves(n)}" for n in ("light", "deep", "strict")) + """),
+kept AS (SELECT doc, path, value, CASE WHEN path = 'notes' AND contains(value, '"a.md"') THEN list_filter(from_json(value, '["VARCHAR"]'), lambda v: v <> 'a.md') END AS lists FROM leaf)
+SELECT doc, path, replace(value, ',', ', ') AS from_value, CASE WHEN len(lists) > 0 THEN to_json(lists)::VARCHAR END AS to_value, CASE WHEN len(lists) > 0 THEN 'changed' ELSE 'removed' END AS change
+FROM kept WHERE lists IS NOT NULL OR path = 'tools.cache' OR starts_with(path, 'tools.cache.')""",
     "profile_explain": "WITH leaf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS doc, path, {_SPACED} AS value FROM {_leaves(n)}" for n in ("light", "deep", "strict")) + """)
 SELECT path, coalesce(max(value) FILTER (doc = 'light'), '-') AS light, coalesce(max(value) FILTER (doc = 'deep'), '-') AS deep,
        coalesce(max(value) FILTER (doc = 'strict'), '-') AS strict FROM leaf GROUP BY path ORDER BY path""",
