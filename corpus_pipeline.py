@@ -21,17 +21,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow_spark.llm import jaccard_join, mixing, quality, sentencepieces, toxicity
+from winnow_spark.llm.workers import quoted
 from winnow_spark.session import read_table, release_shuffles, remove_folder, use_checkpoint_dir
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """``row`` and its ``text``: no output of an operator can take a column's place in ``row``."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "text")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, chain).where("NOT is_toxic").select(*docs.columns)
+    return toxicity.score_toxicity(_whole_rows(docs), chain).where("NOT is_toxic").select("row.*")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality.judge_quality(docs, trees).where("kept").select(*docs.columns)
+    return quality.judge_quality(_whole_rows(docs), trees).where("kept").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
