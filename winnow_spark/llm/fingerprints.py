@@ -6,7 +6,10 @@ random subsets of the lexicon are drawn (each term is in each subset with
 probability ``KEEP``, by a hash of the term). A document's distinct lexicon
 terms are sorted and, for each subset, those in it are hashed. The fingerprint
 is all subset hashes; the likeness of two fingerprints is the share of equal
-ones. A subset in which a text has no terms gets a hash of the whole text, so
+ones. A subset survives d changed lexicon terms with probability (1 - KEEP)^d,
+so small subsets find near copies and many of them make it likely that one
+does: with 15 % of the lexicon in each of twelve, nine times of ten for d up to
+ten. A subset in which a text has no terms gets a hash of the whole text, so
 that texts without lexicon terms are not alike by default.
 
 Frequencies cover every document. The lexicon's size is bounded whatever the
@@ -27,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnow_spark.llm.workers import quoted
 from winnow_spark.session import cut_lineage, read_table
 
 RARE, COMMON = 1 / 200, 1 / 10
-SUBSETS, KEEP = 6, 0.5
+SUBSETS, KEEP = 12, 0.15
 MAX_LEXICON = 500_000
 #: Ids to a range when documents are put in order, and ranges at most.
 RANGE_ROWS, MAX_RANGES = 200_000, 50_000
@@ -45,7 +49,7 @@ def distinct_terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     """term (a 64-bit hash), number (its place by hash) and mask (the subsets it is in, as bits)."""
     every = F.count("*")
-    counted = docs.select(F.explode(distinct_terms(F.coalesce(docs[text], F.lit("")))).alias("word")).where("word != ''")
+    counted = docs.select(F.explode(distinct_terms(F.coalesce(F.col(quoted(text)), F.lit("")))).alias("word")).where("word != ''")
     counted = counted.groupBy(F.xxhash64("word").alias("term")).agg(every.alias("df"))
     rows = docs.count()
     band = counted.where((F.col("df") >= max(2.0, RARE * rows)) & (F.col("df") <= max(2.0, COMMON * rows)))
@@ -54,7 +58,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``fingerprint``, ``likes`` (its subset hashes) and ``sha256`` of each row's text; keys tell rows apart.
+    """``keys``, ``likes`` (the fingerprint as subset hashes) and ``sha256`` of each row's text; keys tell rows apart.
 
     A text's last element is its own SHA-256 after "#", which no term has; it
     stays in the join whatever the lexicon is, so each row has a result and
@@ -69,10 +73,15 @@ def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], text: str)
     terms = terms.select(*keys, F.xxhash64(F.when(whole, F.lit("#")).otherwise(F.col("word"))).alias("term"), F.when(whole, F.substring("word", 2, 64)).alias("sha"))
     joined = terms.join(F.broadcast(words) if small else words, "term")
     found = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("mask") > 0, F.struct("term", "mask")))).alias("found"), F.max("sha").alias("sha256"))
-    subset = lambda k: F.transform(F.filter("found", lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0), lambda t: t["term"])
-    hashes = [F.when(F.size(subset(k)) > 0, F.xxhash64(subset(k), F.lit(k))).otherwise(F.xxhash64("sha256", F.lit(-1 - k))) for k in range(SUBSETS)]
-    likes = found.select(*keys, "sha256", F.array(*hashes).alias("likes"))
-    return likes.withColumn("fingerprint", F.array_join(F.transform("likes", lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "-"))
+    found = found.withColumn("met", F.aggregate("found", F.lit(0), lambda bits, t: bits.bitwiseOR(t["mask"])))
+    subset = lambda k: F.filter("found", lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0)
+    hashes = [F.when(F.col("met").bitwiseAND(F.lit(1 << k)) != 0, F.xxhash64(subset(k), F.lit(k))).otherwise(F.xxhash64("sha256", F.lit(-1 - k))) for k in range(SUBSETS)]
+    return found.select(*keys, "sha256", F.array(*hashes).alias("likes"))
+
+
+def spelled(likes: Column) -> Column:
+    """The fingerprint as text."""
+    return F.array_join(F.transform(likes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "-")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,8 +113,8 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     The edited text has its last half replaced by as many of the first code
     points of the next document.
     """
-    body = F.coalesce(docs[text], F.lit(""))
-    key, missing = F.coalesce(docs[id].cast("long"), F.lit(0)), docs[id].isNull()
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    key, missing = F.coalesce(F.col(quoted(id)).cast("long"), F.lit(0)), F.col(quoted(id)).isNull()
     whole = docs.select(key.alias("id"), F.xxhash64(missing, body).alias("hash"), body.alias("body"))
     keys = docs.select(key.alias("id"), F.xxhash64(missing, body).alias("hash"), missing.alias("missing"), F.length(body).cast("long").alias("n"))
     keys = cut_lineage(keys.groupBy("id", "hash").agg(F.first("missing").alias("missing"), F.first("n").alias("n"), F.count("*").alias("copies")))
@@ -121,13 +130,13 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     variants = both.select("id", "hash", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("body").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("value")))).alias("v"))
     prints = fingerprints(variants.select("id", "hash", "v.kind", "v.value"), words, ["id", "hash", "kind"], "value")
     take = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
-    prints = prints.groupBy("id", "hash").agg(take(0, "fingerprint").alias("fingerprint"), take(1, "fingerprint").alias("edited_fingerprint"), take(0, "likes").alias("likes"), take(1, "likes").alias("edited_likes"), take(1, "sha256").alias("edited_sha256"))
+    prints = prints.groupBy("id", "hash").agg(take(0, "likes").alias("likes"), take(1, "likes").alias("edited_likes"), take(1, "sha256").alias("edited_sha256"))
     prints = cut_lineage(prints)
     out = prints.join(after, ["id", "hash"])
     nexts = prints.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("likes").alias("next_likes"))
     out = out.join(nexts, (out["next.id"] == nexts["next_id"]) & (out["next.hash"] == nexts["next_hash"]))
     out = out.select(
-        F.when(~F.col("missing"), F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(~F.col("missing"), F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", spelled(F.col("likes")).alias("fingerprint"), spelled(F.col("edited_likes")).alias("edited_fingerprint"),
         likeness(F.col("likes"), F.col("edited_likes")).alias("near_edited"), likeness(F.col("likes"), F.col("next_likes")).alias("near_next"), "copies",
     )
     if repeated:
