@@ -12,8 +12,9 @@ any of these can't reach o. Each place of a prefix word is met with its
 templates by an equi-join; what can't reach o with all words within reach of the
 place is dropped, and every window around the rest is verified by intersection.
 
-DataFrame functions only. Templates are constants of this module, so what is
-broadcast has a fixed size; documents are not shuffled, only one slim row each.
+DataFrame functions only. What is broadcast is made from the templates, and
+only up to ``MAX_BROADCAST`` rows; documents are not shuffled, only one slim row
+each.
 
 Defined results for odd input: a null or empty text has no words, no places,
 empty label strings and score 0; rows of equal id and text give equal results,
@@ -27,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow_spark.llm.workers import quoted
 from winnow_spark.session import cut_lineage, read_table
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,6 +77,14 @@ MARKS = {
 SPELLINGS = (("library", "general", "lesser general"), ("share", "alike", "sharealike"))
 
 
+#: Rows made from templates that are broadcast at most (some hundred bytes each); more are joined by a shuffle.
+MAX_BROADCAST = 100_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -121,7 +131,7 @@ def scan_phrases(spaced: Column, phrases: dict[str, str] = PHRASES) -> dict[str,
 def word_order(lowered: DataFrame, words: list[str]) -> list[str]:
     """``words``, rarest in the whole corpus first (ties by spelling)."""
     known = lowered.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    met = lowered.select(F.explode(F.split("lowered", SEPARATOR)).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
+    met = lowered.select(F.explode(F.split("lowered", SEPARATOR)).alias("word")).join(_small(known, len(words)), "word").groupBy("word").count()
     counts = {r["word"]: r["count"] for r in met.collect()}  # a row a template word
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
@@ -152,7 +162,7 @@ def match_templates(lowered: DataFrame, keys: list[str], templates=TEMPLATES, co
     # The words that a window over the place may have, from the array's start or ``width - 1`` words before on.
     within = lambda words, at, width: F.slice(words, F.greatest(at - width + 2, F.lit(1)), F.least(at, width - 1) + width)
     spans = F.transform(places, lambda at: F.struct(F.element_at("words", at + 1).alias("prefix"), F.least(at, F.lit(reach - 1)).alias("place"), within("words", at, F.lit(reach)).alias("near")))
-    met = texts.select(*keys, F.explode(spans).alias("span")).select(*keys, "span.*").join(F.broadcast(prefixes), "prefix")
+    met = texts.select(*keys, F.explode(spans).alias("span")).select(*keys, "span.*").join(_small(prefixes, len(rows)), "prefix")
     held = lambda words: F.when(F.size(F.array_except("marks", words)) == 0, F.size(F.array_intersect("template", words)))
     met = met.where(held(within("near", F.col("place"), F.col("width"))) >= F.col("need"))
     other = lambda side: F.transform("near", lambda w, i: F.when(side(i) & F.array_contains("foreign", w), i))
@@ -165,7 +175,7 @@ def match_templates(lowered: DataFrame, keys: list[str], templates=TEMPLATES, co
 
 def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
-    hashed = docs.select(docs[id].alias("doc_id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("hash"), _lower(docs[text]).alias("lowered"))
+    hashed = docs.select(F.col(quoted(id)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("hash"), _lower(F.col(quoted(text))).alias("lowered"))
     matched = match_templates(hashed, ["doc_id", "hash"], templates, contained)
     matched = cut_lineage(matched.groupBy("doc_id", "hash").agg(F.collect_set("label").alias("found"), F.max("share").alias("share")))
     found = scan_phrases(F.col("spaced"), phrases)
