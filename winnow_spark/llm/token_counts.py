@@ -34,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow_spark.llm.sentencepieces import MARK, piece_model
+from winnow_spark.llm.workers import beside, give_back, quoted
 from winnow_spark.session import read_table
 
 UNKNOWN = -1
 MAX_WORDS, MAX_WORD_BYTES = 500_000, 100
+#: Characters of a vocabulary that is broadcast; the largest public ones have some two million.
+MAX_VOCABULARY = 20_000_000
 
 
 class LongestMatch:
@@ -100,9 +103,11 @@ def vocabulary(model_file: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
-
 def count_tokens(df: DataFrame, pieces: Iterable[str], text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``n_tokens`` (unknown words one each), ``n_unknown``."""
+    pieces = list(pieces)
+    if sum(map(len, pieces)) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} characters is not broadcast")
     automaton = df.sparkSession.sparkContext.broadcast(LongestMatch(pieces))
     names = ["n_words", "n_tokens", "n_unknown"]
 
@@ -127,9 +132,10 @@ def count_tokens(df: DataFrame, pieces: Iterable[str], text: str = "text") -> Da
         known: dict[bytes, int] = {}
         for texts in batches:
             yield pd.DataFrame(list(counted(texts, known)), columns=names)
+        known.clear()
+        give_back()
 
-    out = df.select(*[df[c] for c in df.columns if c not in names], run(df[text]).alias("__counts"))
-    return out.select(*[c for c in out.columns if c != "__counts"], *[f"__counts.{n}" for n in names])
+    return beside(df, run(F.col(quoted(text))), names)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
