@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnow_spark.llm.workers import quoted
 from winnow_spark.session import cut_lineage, read_table
 
 #: Rows to a range, and ranges at most; a range's rows are sorted in one task.
@@ -30,8 +31,8 @@ RANGE_ROWS, MAX_RANGES = 200_000, 50_000
 
 def shard_by_bytes(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs``."""
-    body = F.coalesce(docs[text], F.lit(""))
-    slim = cut_lineage(docs.select(docs[id].alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    slim = cut_lineage(docs.select(F.col(quoted(id)).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")))
     order = ["doc_id", "size", "text_crc32"]
     ranges = max(min(MAX_RANGES, -(-slim.count() // RANGE_ROWS)), docs.sparkSession.sparkContext.defaultParallelism)
     ranged = cut_lineage(slim.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
