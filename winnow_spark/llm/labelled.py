@@ -28,4 +28,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], id:
     texts = docs.select(F.col(quoted(id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     met = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
     one = met.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"), *[F.first(c).alias(c) for c in columns])
-    return cut_lineage(one.select("doc_id", "least.text", *columns))
+    return cut_lineage(one.select("doc_id", "least.text", *columns), slim=True)

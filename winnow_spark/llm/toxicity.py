@@ -113,7 +113,7 @@ def pick_features(sample: DataFrame, categories: tuple[str, ...], folds: int = F
         del place, seen, listed
         give_back()
 
-    counts = cut_lineage(sample.mapInPandas(counted, "feature string, " + ", ".join(f"{n} int" for n in names)).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]))
+    counts = cut_lineage(sample.mapInPandas(counted, "feature string, " + ", ".join(f"{n} int" for n in names)).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]), slim=True)
     sums = counts.where("feature = ''").first()
     sizes = [[int(sums[f"c{f}_{k}"]) if sums else 0 for k in range(width)] for f in range(folds)]
     picked = []
