@@ -43,7 +43,7 @@ Extra columns are not carried by :func:`link_components`.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -60,7 +60,8 @@ from winnow_spark.session import cut_lineage, read_table, release_shuffles
 PERCENT = 80
 COUNTERS, BLOCK = 1 << 24, 1 << 16
 #: A shingle with more than this many documents, by its counter, is dealt to a salt for each so many, 64 at most.
-HOT_DOCUMENTS, SALTS = 2048, 64
+#: A counter that is below ``ABOVE_MEAN`` times the counters' mean tells nothing and doesn't make a shingle a frequent one.
+HOT_DOCUMENTS, SALTS, ABOVE_MEAN = 2048, 64, 8
 _SALT_STEP = 0x1E3779B97F4A7C15
 #: Places in a prefix from this one on are not told apart, and sets with so many do without the positional filter.
 MOST_PLACE = (1 << 24) - 1
@@ -126,6 +127,11 @@ def shingle_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def least_frequent(frequencies: np.ndarray) -> float:
+    """Documents from which on a shingle is dealt to salts."""
+    return max(float(HOT_DOCUMENTS), ABOVE_MEAN * float(np.mean(np.exp2(frequencies / 8.0) - 1)))
+
+
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
@@ -160,10 +166,10 @@ def signed_sets(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n int, s1 long, s2 long, prefix binary, levels binary, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
+def prefix_postings(classes: DataFrame, hot_from: float) -> DataFrame:
     """key, facts, rep for every shingle of the classes' prefixes.
 
-    ``key`` is the shingle, for a frequent one with a salt's multiple added;
+    ``key`` is the shingle, for a frequent one (``hot_from`` documents or more) with a salt's multiple added;
     ``facts`` are the set's size (31 bits), the salt (8 bits, from 1; 0 is none) and the place in its prefix (24 bits).
     """
 
@@ -175,7 +181,7 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
                 if not sum(sizes):
                     continue
                 reps, shingles = np.repeat(part["rep"].to_numpy(), sizes), np.frombuffer(b"".join(part["prefix"]), np.uint64)
-                salts = np.exp2(np.frombuffer(b"".join(part["levels"]), np.uint8) / 8.0) / HOT_DOCUMENTS
+                salts = np.exp2(np.frombuffer(b"".join(part["levels"]), np.uint8) / 8.0) / hot_from
                 salts = np.minimum(salts, SALTS - 2).astype(np.uint64)
                 hot = np.flatnonzero(salts)
                 salts[hot] = pd.util.hash_array(reps[hot]) % (salts[hot] + np.uint64(1)) + np.uint64(1)
@@ -237,16 +243,22 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def with_pivots(rows: DataFrame, key: str, turn: int = 0) -> DataFrame:
-    """``rows`` (rep, facts and in later turns comp) with the ``pivot`` of their group by ``key``, by turn another one.
+def with_pivots(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (rep, facts) with the ``pivot`` of their group by ``key``, its least class. Each group is sorted, none is held."""
+    inside = Window.partitionBy(key).orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("pivot", F.first(F.struct("rep", "facts")).over(inside))
+
+
+def with_drawn_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """``rows`` (shingle, rep, facts, comp) of shingles with several components, with a pivot drawn anew for each.
 
-    Each group is sorted. What it is sorted by is made after the shuffle.
+    Pivots are found by a combined minimum and joined, so that a frequent
+    shingle's rows may lie in many tasks.
     """
-    if turn:
-        rows = rows.repartition(F.col(key)).withColumn("draw", F.xxhash64("rep", key, F.lit(turn)))
-    order = ["draw", "rep"] if turn else ["rep"]
-    inside = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("pivot", F.first(F.struct(*[c for c in ("rep", "facts", "comp") if c in rows.columns])).over(inside)).drop("draw")
+    drawn = F.min(F.struct(F.xxhash64("rep", "shingle", F.lit(turn)).alias("draw"), "rep", "facts", "comp")).alias("first")
+    pivots = rows.groupBy("shingle").agg(drawn, F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    pivots = cut_lineage(pivots.select("shingle", F.struct("first.rep", "first.facts", "first.comp").alias("pivot")), slim=True)
+    return rows.join(few(pivots), "shingle")
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -266,7 +278,7 @@ def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     texts, count = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text"), reps.count()
     if count <= MAX_BROADCAST:
         return texts.join(F.broadcast(reps), "rep", "left_semi")
-    bits = 1 << min(24, (16 * count).bit_length())
+    bits = 1 << min(24, max(12, (16 * count).bit_length()))
     place = lambda ids: (pd.util.hash_array(ids.to_numpy(np.int64)) & np.uint64(bits - 1)).astype(np.int64)
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,12 +347,12 @@ def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     signed = cut_lineage(signed_sets(docs, frequencies))
     sets = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(s).alias(f"{f.__name__}_{s}") for f in (F.min, F.max) for s in ("s1", "s2")])
     if not sets.where("min_s1 <> max_s1 OR min_s2 <> max_s2").head(1):
-        return _linked(docs, signed)
+        return _linked(docs, signed, least_frequent(frequencies))
 
     # An id with unlike texts: each text is linked by a key of its own, then the components of one id are tied.
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text")
     own = keyed.select(F.col("key").alias("doc_id"), "text")
-    known = _linked(own, cut_lineage(signed_sets(own, frequencies))).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
+    known = _linked(own, cut_lineage(signed_sets(own, frequencies)), least_frequent(frequencies)).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
     rows = cut_lineage(keyed.select("doc_id", "key").join(known, "key"))
     edges = rows.join(rows.groupBy("doc_id").agg(F.min("component_id").alias("v")), "doc_id").select(F.col("component_id").alias("u"), "v")
     tied = connected_components(edges).select(F.col("node").alias("component_id"), F.col("component").alias("tied"))
@@ -350,7 +362,7 @@ def link_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return rows.join(least, "tied").select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(nameless)
 
 
-def _linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, signed: DataFrame, hot_from: float) -> DataFrame:
     """:func:`link_components` where rows of one id have one set."""
     held = signed.where("n > 0 AND doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
     signatures = held.groupBy("s1", "s2").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
@@ -358,7 +370,7 @@ def _linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
     several = signatures.where("copies > 1").select("s1", "s2", F.col("rep").alias("least"))
     copies = cut_lineage(held.select("s1", "s2", "rep").join(few(several), ["s1", "s2"]).where("rep <> least").select("rep"), slim=True)
     classes = held.join(few(copies), "rep", "left_anti").dropDuplicates(["rep"]) if not _one_row_an_id(held) else held.join(few(copies), "rep", "left_anti")
-    components = linked_classes(docs, held, prefix_postings(classes.select("rep", "n", "prefix", "levels")))
+    components = linked_classes(docs, held, prefix_postings(classes.select("rep", "n", "prefix", "levels"), hot_from))
 
     signatures = signatures.drop("copies")
     if components is not None:
@@ -429,29 +441,30 @@ def linked_classes(docs: DataFrame, held: DataFrame, postings: DataFrame) -> Dat
     def unrefused(pairs: DataFrame) -> DataFrame:
         return pairs if refused is None else pairs.join(refused, ["a", "b"], "left_anti")
 
+    pairs = star_pairs(meeting)
     salted = bool(meeting.where(is_salted).head(1))
+    if salted:  # the pivots of a shingle's salts meet one of them
+        pivots = meeting.where(is_salted & (F.col("rep") == F.col("pivot.rep"))).select(shingle_of("key", "facts").alias("shingle"), "rep", "facts")
+        pairs = pairs.unionByName(star_pairs(with_pivots(pivots, "shingle")))
+    meeting = meeting.where("many").select(shingle_of("key", "facts").alias("shingle"), "rep", "facts")
     for turn in range(STAR_ROUNDS):
         if turn:  # at first each group's least class is its pivot, then another for each shingle; groups of two have met
-            several = (F.min("comp").over(Window.partitionBy("key")) < F.max("comp").over(Window.partitionBy("key"))) | is_salted
-            meeting = with_pivots(comps.of(meeting.where("many").select("key", "rep", "facts", "many"), "rep", "comp"), "key", turn)
-            meeting = cut_lineage(meeting.withColumn("several", several).where("several").drop("several"))
-        pairs = star_pairs(meeting)
-        if salted:  # the pivots of a shingle's salts meet one of them
-            pivots = meeting.where(is_salted & (F.col("rep") == F.col("pivot.rep"))).drop("pivot").withColumn("shingle", shingle_of("key", "facts"))
-            pairs = pairs.unionByName(star_pairs(with_pivots(pivots, "shingle", turn)))
+            meeting = cut_lineage(with_drawn_pivots(comps.of(meeting.select("shingle", "rep", "facts"), "rep", "comp"), turn))
+            pairs = star_pairs(meeting)
         alike = cut_lineage(alike_pairs(cut_lineage(unrefused(pairs.distinct()), slim=True), sketches), slim=True)
         now = cut_lineage(alike.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b"), slim=True)
         moved = check(now) if now.head(1) else 0
         left = alike.join(now, ["a", "b"], "left_anti")
         waiting = left if waiting is None else waiting.unionByName(left)
         release_shuffles(docs.sparkSession)
-        if PROGRESS * moved < classes:
+        if PROGRESS * moved < classes and (turn or not salted):
             break
 
     # What remains: all pairs across components, on each shingle those outside its largest component against all.
-    rows = comps.of(meeting.where("many").select(shingle_of("key", "facts").alias("shingle"), "rep", "facts"), "rep", "comp")
+    rows = comps.of(meeting.select("shingle", "rep", "facts"), "rep", "comp")
     shares = rows.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-    rows = cut_lineage(rows.join(shares.drop("comps"), "shingle").withColumn("n", size_of(F.col("facts"))))
+    shares = cut_lineage(shares.drop("comps"), slim=True)  # by itself, so that the joins with it may be split
+    rows = cut_lineage(rows.join(shares, "shingle").withColumn("n", size_of(F.col("facts"))))
     folded = sketches.select("rep", *[F.col(k).bitwiseXOR(F.col(SKETCH[len(FOLDED) + i])).alias(k) for i, k in enumerate(FOLDED)])
     rows = rows.join(folded, "rep")
     one, other = rows.where("comp <> largest").alias("x"), rows.alias("y")
