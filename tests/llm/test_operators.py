@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from winnow_spark.llm import fingerprints, jaccard_join, licenses, mixing, quality, sentencepieces, sharding, token_counts, toxicity, url_filters
