@@ -37,6 +37,14 @@ MAX_RULE_BYTES = 20_000_000
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+def checked(rules: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    rules = list(rules)
+    for verdict, _ in rules:
+        if verdict not in (ALLOW, BLOCK):
+            raise ValueError(f"a rule's verdict is {ALLOW!r} or {BLOCK!r}, not {verdict!r}")
+    return rules
+
+
 class UrlTrie:
     """Rules ``(verdict, "host/path")`` as nested nodes.
 
@@ -48,7 +56,7 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[tuple[str, str]]):
         self.root: list = [{}, {}, {}, []]
-        for verdict, rule in rules:
+        for verdict, rule in checked(rules):
             self._add(verdict, rule)
 
     def _add(self, verdict: str, rule: str) -> None:
@@ -96,10 +104,7 @@ def url_path(url: Column) -> Column:
 
 def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url", default: str = ALLOW) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` and ``verdict`` of each url. No shuffle, but for very many rules."""
-    rules = list(rules)
-    for verdict, _ in rules:
-        if verdict not in (ALLOW, BLOCK):
-            raise ValueError(f"a rule's verdict is {ALLOW!r} or {BLOCK!r}, not {verdict!r}")
+    rules = checked(rules)
     if sum(len(rule) for _, rule in rules) > MAX_RULE_BYTES:
         return judge_by_join(df, df.sparkSession.createDataFrame(rules, "verdict string, rule string"), url, default)
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
