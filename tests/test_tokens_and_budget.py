@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def test_chunk(spark):
     assert rows[1]["c"] == ["fits"] and rows[2]["c"] == []
 
 
+def test_chunk_measures_a_line_once(spark):
+    """One chunk of very many lines: measuring the chunk again for every line took minutes."""
+    text = "\n".join(f"{i}; x" for i in range(30_000))
+    begun = time.monotonic()
+    rows = spark.createDataFrame([(text,)], "t string").repartition(2).select(chunk_to_tokens(F.col("t"), estimate(text) - 1).alias("c")).collect()
+    assert "\n".join(rows[0]["c"]) == text and len(rows[0]["c"]) == 2 and time.monotonic() - begun < 30
+
+
+@pytest.mark.parametrize("limit", [1, 3, 8])
+def test_chunks_by_estimate_and_by_counter(spark, limit):
+    """The estimate as a counter takes the way on which nothing adds up; both give the same chunks."""
+    texts = [None, "", "\n", "\n\n a", "\u00e9\U0001f600;\t\tx\n\n  b, c.\r\nword word word word\n", "a\n" * 9, "long line " * 9 + "\n;\n;\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunk_to_tokens(F.col("t"), limit).alias("c"), chunk_to_tokens(F.col("t"), limit, counter=estimate_tokens).alias("d")).collect()
+    assert all(r["c"] == r["d"] and "\n".join(r["c"]) == (r["t"] or "") for r in rows)
+
+
 @pytest.mark.parametrize("value,expected", [(None, 16000), ("LARGE", 64000), ("12abc", 12), (5, 5)])
 def test_resolve(value, expected):
     assert resolve_budget(value) == expected
