@@ -1,3 +1,6 @@
+import re
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +280,16 @@ def test_simhash_values(spark):
 
     got = docs(spark, "abc", "xyz", "", None, "ab").select("ord", simhash(F.col("text")).alias("s")).orderBy("ord").collect()
     assert got[0]["s"]["low"] == 440920331 and got[0]["s"]["high"] == got[1]["s"]["high"] != 0 and [tuple(r["s"]) for r in got[2:]] == [(0, 0)] * 3
+
+
+@pytest.mark.parametrize("query", ["licenses this sing bus class versioning under", "the is", "de des thing doe", "ss class licensings"])
+def test_line_counts(spark, query):
+    """Counted by the spellings of a stem as by stemming every word."""
+    words = "the this license licenses licensing licens class terms ing is s sings sing versions under unders undering bus bu x_1 des de does as thes Terms' sing-sing \u00e9tats".split()
+    rows = [(" ".join(words[i % 26 :: 1 + i % 5]),) for i in range(60)] + [("",), (" ; ",)]
+    kinds = sorted({relevance._stemmed(w) for w in relevance.query_words(query)})
+    got = spark.createDataFrame(rows, "line string").select(relevance._line_counts(F.col("line"), kinds).alias("c"), relevance.line_terms(F.col("line")).alias("terms"), "line").collect()
+    for row in got:
+        assert row["c"]["length"] == len(row["terms"]) and [row["c"][f"tf{i}"] for i in range(len(kinds))] == [row["terms"].count(t) for t in kinds]
+        split = [w for w in re.split(relevance.SEPARATOR, row["line"].lower()) if len(w) > 1 and w not in relevance.STOPWORDS]
+        assert row["terms"] == [relevance._stemmed(w) for w in split]

@@ -15,7 +15,7 @@ STOPWORDS = (
     "a an and are as at be but by for from has have if in into is it its of on or that the to was were will with this those "
     "i me my we our you your he she they them do does did not no yes so than then when where which who whom what how why"
 ).split()
-SEPARATOR = r"[^a-z0-9_]+"
+SEPARATOR, WORD = r"[^a-z0-9_]+", r"[a-z0-9_]+"
 ELISION = " … "
 
 
@@ -25,9 +25,13 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) > 4) & word.endswith("ing"), cut(3)).when(plural, cut(1)).otherwise(word)
 
 
+def _line_words(line: Column) -> Column:
+    # Found, not split at their separators, which takes many times longer; empty pieces would not count anyway.
+    return F.filter(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
+
+
 def line_terms(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), SEPARATOR), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
-    return F.transform(words, stem)
+    return F.transform(_line_words(line), stem)
 
 
 def query_words(query: str | None) -> list[str]:
@@ -40,6 +44,25 @@ def _stemmed(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
 
 
+def _spellings(term: str) -> list[str]:
+    """All words whose stem is ``term``."""
+    return [w for w in (term, term + "s", term + "ing") if len(w) > 1 and w not in STOPWORDS and _stemmed(w) == term]
+
+
+def _line_counts(line: Column, kinds: list[str]) -> Column:
+    """A line's number of terms, and of each of ``kinds``: as by :func:`line_terms`, but only words that stem to one are looked at again."""
+    met = {w: t for t in kinds for w in _spellings(t)}
+
+    def counts(words: Column) -> Column:
+        hits = F.filter(words, lambda w: w.isin(list(met))) if met else F.array().cast("array<string>")
+        of = lambda found, t: F.size(F.filter(found, lambda w: w.isin(_spellings(t)) if _spellings(t) else F.lit(False)))
+        each = lambda found: F.struct(F.size(words).alias("length"), *[of(found, t).alias(f"tf{i}") for i, t in enumerate(kinds)])
+        return F.transform(F.array(hits), each)[0]
+
+    # Bound by lambdas, so that words and hits are made once a line and not once a kind.
+    return F.transform(F.array(_line_words(line)), counts)[0]
+
+
 def line_scores(docs: DataFrame, query: str, window: int = 1) -> DataFrame:
     """id, line_no (from 0), line, own_score, score (with neighbours' decayed scores) and n_lines.
 
@@ -48,11 +71,10 @@ def line_scores(docs: DataFrame, query: str, window: int = 1) -> DataFrame:
     """
     terms = [_stemmed(w) for w in query_words(query)]
     lines = docs.select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "line_no", "line", line_terms(F.col("line")).alias("terms"))
     kinds = sorted(set(terms))
-    tf = lambda t: F.size(F.filter("terms", lambda w: w == t))
     whole = Window.partitionBy("id")
-    lines = lines.select("id", "line_no", "line", F.size("terms").alias("length"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(kinds)])
+    lines = lines.select("id", "line_no", "line", _line_counts(F.col("line"), kinds).alias("c"))
+    lines = lines.select("id", "line_no", "line", "c.length", *[f"c.tf{i}" for i in range(len(kinds))])
     frequent = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).over(whole).alias(f"df{i}") for i in range(len(kinds))]
     lines = lines.select("*", F.count("*").over(whole).alias("n_lines"), F.avg("length").over(whole).alias("mean"), *frequent)
     mean = F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
