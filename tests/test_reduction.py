@@ -282,6 +282,23 @@ def test_simhash_values(spark):
     assert got[0]["s"]["low"] == 440920331 and got[0]["s"]["high"] == got[1]["s"]["high"] != 0 and [tuple(r["s"]) for r in got[2:]] == [(0, 0)] * 3
 
 
+@pytest.mark.parametrize("query", [None, "license terms"])
+def test_reduction_counts_a_text_once(spark, query):
+    """Each step counts what it changed, once; texts that a step left alone, and later steps, take the number that is there."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("long")
+    def counter(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return texts.str.len() // 4 + 1
+
+    rows = [(i, f"{i}.md", f"text {i} of words {i * i} and lines\nthe license has terms {i * 7}") for i in range(12)]
+    done = reduce_context(spark.createDataFrame(rows, "ord int, id string, text string"), 100, query, counter=counter)
+    done.trace.collect(), done.totals.collect()
+    # Spark evaluates a Python function on every row of a CASE: in, redacted, kept, selected.
+    assert calls.value <= (4 if query else 3) * len(rows)
+
+
 @pytest.mark.parametrize("query", ["licenses this sing bus class versioning under", "the is", "de des thing doe", "ss class licensings"])
 def test_line_counts(spark, query):
     """Counted by the spellings of a stem as by stemming every word."""
